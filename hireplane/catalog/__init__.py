@@ -1,0 +1,17 @@
+"""Registered queries with their inputs and check SQL."""
+
+from hireplane.catalog import registry
+
+
+def _load() -> None:
+    from hireplane.catalog import q_postings  # noqa: F401
+
+
+def all_queries():
+    _load()
+    return dict(registry.QUERIES)
+
+
+def all_oracles():
+    _load()
+    return dict(registry.ORACLES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,15 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a real column.
+
+    Filters and projections that use an alias several times may be rewritten
+    to repeat its expression; a generated column is never taken apart.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def decode_entities(col: Column) -> Column:
     """All HTML entities.
 
@@ -61,24 +70,33 @@ def decode_entities(col: Column) -> Column:
     are handed to Python (NULL is sent for the rest, so little data moves).
     """
     names = "|".join(COMMON_ENTITIES)
-    rare = F.regexp_replace(col, f"&(?:{names});", "").rlike("&#?[0-9A-Za-z]")
+    rare = F.contains(col, F.lit("&")) & F.regexp_replace(col, f"&(?:{names});", "").rlike(
+        "&#?[0-9A-Za-z]"
+    )
     native = col
     for name, char in COMMON_ENTITIES.items():
         native = F.replace(native, F.lit(f"&{name};"), F.lit(char))
     return F.coalesce(_unescape(F.when(rare, col)), native)
 
 
-def html_to_text(raw: Column) -> Column:
-    """Text nodes joined by newlines, without script, style, comments and doctype."""
+def text_nodes(raw: Column) -> Column:
+    """Tags to newlines; script, style, comments and doctype dropped."""
     mark = "\u0001"
     col = F.coalesce(raw, F.lit(""))
     col = F.regexp_replace(
         col, r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>", mark
     )
     col = F.regexp_replace(col, r"</?[A-Za-z][^>]*>", mark)
-    col = F.regexp_replace(col, f"{mark}+", "\n")
-    col = decode_entities(col)
-    return strip(F.regexp_replace(col, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(col, f"{mark}+", "\n")
+
+
+def add_html_text(df: DataFrame, html_column: str, name: str) -> DataFrame:
+    """``df`` with the text nodes of an HTML column, joined by newlines, as ``name``."""
+    nodes = computed_once(df, "_nodes", text_nodes(F.col(html_column)))
+    decoded = decode_entities(F.col("_nodes"))
+    return nodes.withColumn(
+        name, strip(F.regexp_replace(decoded, r"\n{3,}", "\n\n"))
+    ).drop("_nodes")
 
 
 def strip_markup(text: Column) -> Column:

@@ -27,8 +27,7 @@ def _place(location: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), ", ")
 
 
-def greenhouse_fields(raw: Column) -> Column:
-    r = F.from_json(raw, S.GREENHOUSE)
+def greenhouse_fields(r: Column) -> Column:
     # The location is an object with a name, or a plain string.
     location = F.when(
         F.startswith(r["location"], F.lit("{")), F.get_json_object(r["location"], "$.name")
@@ -40,8 +39,7 @@ def greenhouse_fields(raw: Column) -> Column:
     )
 
 
-def lever_fields(raw: Column) -> Column:
-    r = F.from_json(raw, S.LEVER)
+def lever_fields(r: Column) -> Column:
     cats = r["categories"]
     location = F.coalesce(
         text.blank_to_null(cats["location"]), F.get(cats["allLocations"], F.lit(0))
@@ -70,8 +68,7 @@ def lever_fields(raw: Column) -> Column:
     )
 
 
-def ashby_fields(raw: Column) -> Column:
-    r = F.from_json(raw, S.ASHBY)
+def ashby_fields(r: Column) -> Column:
     department = F.coalesce(text.blank_to_null(r["department"]["name"]), r["team"]["name"])
     return _fields(
         r["id"], r["title"], r["locationName"], r["publishedDate"], r["descriptionHtml"],
@@ -79,16 +76,14 @@ def ashby_fields(raw: Column) -> Column:
     )
 
 
-def smartrecruiters_fields(raw: Column) -> Column:
-    r = F.from_json(raw, S.SMARTRECRUITERS)
+def smartrecruiters_fields(r: Column) -> Column:
     return _fields(
         r["id"], r["name"], _place(r["location"]), r["releasedDate"], F.lit(""),
         r["department"]["label"], r["ref"],
     )
 
 
-def workable_fields(raw: Column) -> Column:
-    r = F.from_json(raw, S.WORKABLE)
+def workable_fields(r: Column) -> Column:
     return _fields(
         F.coalesce(r["shortcode"], r["id"]), r["title"], _place(r["location"]),
         r["published_on"], F.lit(""), r["department"], r["url"],
@@ -96,36 +91,34 @@ def workable_fields(raw: Column) -> Column:
 
 
 PARSERS = {
-    "greenhouse": greenhouse_fields,
-    "lever": lever_fields,
-    "ashby": ashby_fields,
-    "smartrecruiters": smartrecruiters_fields,
-    "workable": workable_fields,
+    "greenhouse": (S.GREENHOUSE, greenhouse_fields),
+    "lever": (S.LEVER, lever_fields),
+    "ashby": (S.ASHBY, ashby_fields),
+    "smartrecruiters": (S.SMARTRECRUITERS, smartrecruiters_fields),
+    "workable": (S.WORKABLE, workable_fields),
 }
 
 
+def _parsed(raw: Column, schema: str, fields) -> Column:
+    """One-element list; the lambda argument keeps the JSON from being parsed per field."""
+    return F.transform(F.array(F.from_json(raw, schema)), fields)
+
+
 def parse_postings(raw_postings: DataFrame, us_only: bool = True) -> DataFrame:
     """All providers in one scan: each row goes through its own provider's parser."""
     fields = None
-    for provider, parse in PARSERS.items():
-        cond = F.col("source_ats") == provider
-        fields = (
-            F.when(cond, parse(F.col("raw"))) if fields is None
-            else fields.when(cond, parse(F.col("raw")))
-        )
-    parsed = (
-        raw_postings.filter(F.col("source_ats").isin(K.PROVIDERS))
-        .withColumn("f", fields)
-        .select("company_slug", "source_ats", "scraped_at", F.col("raw").alias("raw_json"), "f.*")
+    for provider, (schema, parse) in PARSERS.items():
+        cond, value = F.col("source_ats") == provider, _parsed(F.col("raw"), schema, parse)
+        fields = F.when(cond, value) if fields is None else fields.when(cond, value)
+    parsed = raw_postings.filter(F.col("source_ats").isin(K.PROVIDERS)).select(
+        "company_slug", "source_ats", "scraped_at", F.col("raw").alias("raw_json"),
+        F.inline(fields),
     )
     if us_only:
         parsed = parsed.filter(text.is_us_location(F.col("location")))
-    return parsed.select(
-        "job_id", "company_slug", "title",
-        text.is_target_role(F.col("title")).alias("is_target_role"),
-        "location", "posted_at", "scraped_at", "description_html",
-        text.html_to_text(F.col("description_html")).alias("description_text"),
-        "departments", "apply_url", "source_ats", "raw_json",
+    flagged = parsed.withColumn("is_target_role", text.is_target_role(F.col("title")))
+    return text.add_html_text(flagged, "description_html", "description_text").select(
+        *S.JOBS_BRONZE.names
     )
 
 
