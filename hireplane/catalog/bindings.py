@@ -8,6 +8,7 @@ text in both engines, then Spark runs the operator and DuckDB the reference SQL.
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +21,25 @@ TABLES = [
 
 
 class Spark:
-    def __init__(self, sf_dir: str):
+    """Tables as temporary views, so each file's schema is read once per session."""
+
+    _views: dict[tuple[str, str, str], str] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> str:
         path = f"{self.sf_dir}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._views:
+            view = f"in_{name}_{zlib.crc32(self.sf_dir.encode())}"
+            self.spark.read.parquet(path).createOrReplaceTempView(view)
+            self._views[key] = view
+        view = self._views[key]
         # A table that is one small file would be read, and all that follows done, by one task.
         spread = name in ("events", "documents") and os.path.isfile(path)
-        return f"(SELECT /*+ REPARTITION(8) */ * FROM parquet.`{path}`)" if spread else f"parquet.`{path}`"
+        return f"(SELECT /*+ REPARTITION(8) */ * FROM {view})" if spread else view
 
     def minus_days(self, date: str, days: str) -> str:
         return f"date_sub({date}, CAST({days} AS INT))"
@@ -276,7 +288,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.dialect = Spark(sf_dir)
+        self.dialect = Spark(spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

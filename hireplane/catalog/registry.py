@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hireplane.catalog.bindings import DuckDB, Inputs, with_inputs
+from hireplane.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,25 @@ def register(name: str, oracle: tuple[list[str], str] | None = None):
     return add
 
 
+_STORED: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
+def stored(i: Inputs, name: str, build: Callable[[Inputs], DataFrame]) -> DataFrame:
+    """A finished table, written once per session to the shared folder and read from there.
+
+    Queries that serve from silver tables read them as files, as users do; the
+    build queries themselves do not go through here.
+    """
+    key = (i.spark.sparkContext.applicationId, i.dialect.sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(i.spark, name)
+        table = build(i)
+        table.write.parquet(path)
+        _STORED[key] = (path, table.schema)
+    path, schema = _STORED[key]
+    return i.spark.read.schema(schema).parquet(path)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Lists, maps and times as text, doubles to 6 digits, so values compare across engines."""
     columns = []

@@ -320,11 +320,8 @@ def score_pairs(
     return rows.mapInArrow(_block_task(top_n), SCORES)
 
 
-MATCH_ORDER = [F.desc("match_score"), F.asc("job_id")]
-
-
 def top_matches(scores: DataFrame, top_n: int) -> DataFrame:
-    w = Window.partitionBy("candidate_id").orderBy(*MATCH_ORDER)
+    w = Window.partitionBy("candidate_id").orderBy(F.desc("match_score"), "job_id")
     return scores.withColumn("match_rank", F.row_number().over(w)).filter(F.col("match_rank") <= top_n)
 
 

@@ -118,7 +118,7 @@ def parse_postings(raw_postings: DataFrame, us_only: bool = True) -> DataFrame:
         parsed = parsed.filter(text.is_us_location(F.col("location")))
     flagged = parsed.withColumn("is_target_role", text.is_target_role(F.col("title")))
     return text.add_html_text(flagged, "description_html", "description_text").select(
-        *S.JOBS_BRONZE.names
+        *S.JOBS_BRONZE_COLUMNS
     )
 
 

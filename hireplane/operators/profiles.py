@@ -11,8 +11,8 @@ from hireplane.functions import text
 from hireplane.functions.text import contains_any
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-FIELD_NAMES = [f.name for f in S.PROFILE.fields]
-LIST_FIELDS = [f.name for f in S.PROFILE.fields if f.dataType.typeName() == "array"]
+FIELD_NAMES = list(S.PROFILE)
+LIST_FIELDS = [name for name, kind in S.PROFILE.items() if kind.startswith("ARRAY")]
 
 
 def usable_resumes(resumes: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -171,25 +171,26 @@ def summary(who: Column, roles: Column, years: Column, found: Column, degree_: C
 def extract_profiles(resumes: DataFrame, present_year: int = K.PRESENT_YEAR) -> DataFrame:
     """Rule-based profile of every résumé (``candidate_id, text``)."""
     body, lowered = F.col("text"), F.col("lowered")
-    first = resumes.select("candidate_id", "text", F.lower("text").alias("lowered"))
-    read = first.select(
+    once = text.computed_once
+    rows = once(resumes.select("candidate_id", "text"), "lowered", F.lower("text"))
+    rows = once(rows, "technical_skills", skills(body, lowered))
+    rows = once(rows, "years_of_experience", years_of_experience(body, present_year))
+    read = rows.select(
         "candidate_id",
         name(body).alias("name"),
         email(body).alias("email"),
-        skills(body, lowered).alias("technical_skills"),
+        "technical_skills",
         F.array().cast("array<string>").alias("soft_skills"),
-        years_of_experience(body, present_year).alias("years_of_experience"),
+        "years_of_experience",
         job_titles(body).alias("job_titles"),
         industries(lowered).alias("industries"),
         degree(body).alias("highest_degree"),
         field_of_study(body).alias("field_of_study"),
         university(body).alias("university"),
-        "lowered",
+        seniority(lowered, F.col("years_of_experience")).alias("seniority_level"),
+        best_fit_roles(role_scores(F.col("technical_skills"))).alias("best_fit_roles"),
     )
-    ranked = read.withColumn(
-        "best_fit_roles", best_fit_roles(role_scores(F.col("technical_skills")))
-    ).withColumn("seniority_level", seniority(lowered, F.col("years_of_experience")))
-    return ranked.withColumn(
+    return read.withColumn(
         "profile_summary",
         summary(
             F.col("name"), F.col("best_fit_roles"), F.col("years_of_experience"),

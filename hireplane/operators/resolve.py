@@ -17,23 +17,28 @@ from hireplane.operators import scoring
 from hireplane.operators.filings import EMPLOYER
 
 ANCHOR = 5
-BEST = F.struct((-F.coalesce(F.col("total_perm_certified"), F.lit(-1))).alias("neg"), F.col(EMPLOYER))
 
 
 def _names(history: DataFrame) -> DataFrame:
-    return history.select(EMPLOYER, BEST.alias("best"))
-
-
-def exact_matches(keys: DataFrame, names: DataFrame) -> DataFrame:
-    return keys.join(names, F.col("key") == F.col(EMPLOYER)).select("key", "best")
+    """Names with their sort key: most certifications first, then the name."""
+    volume = F.coalesce(F.col("total_perm_certified"), F.lit(-1))
+    return history.select(EMPLOYER, F.struct((-volume).alias("neg"), F.col(EMPLOYER)).alias("best"))
 
 
 def names_starting_with(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Best employer whose name starts with the key (the empty key included)."""
+    """Best employer that is the key (tier 1) or starts with it (tier 2; the empty key included).
+
+    One pass over all name prefixes, reduced to one row per prefix before the join.
+    """
     pieces = names.select(
-        "best", EMPLOYER, F.explode(F.sequence(F.lit(0), F.length(EMPLOYER))).alias("n")
-    ).select(F.substring(F.col(EMPLOYER), F.lit(1), F.col("n")).alias("key"), "best")
-    return pieces.groupBy("key").agg(F.min("best").alias("best")).join(keys, "key", "left_semi")
+        EMPLOYER, "best", F.explode(F.sequence(F.lit(0), F.length(EMPLOYER))).alias("n")
+    ).select(
+        F.substring(F.col(EMPLOYER), F.lit(1), F.col("n")).alias("key"),
+        F.struct(
+            F.when(F.col("n") == F.length(EMPLOYER), 1).otherwise(2).alias("tier"), "best"
+        ).alias("hit"),
+    )
+    return pieces.groupBy("key").agg(F.min("hit").alias("hit")).join(keys, "key", "left_semi")
 
 
 def names_that_start(keys: DataFrame, names: DataFrame) -> DataFrame:
@@ -90,14 +95,17 @@ def resolve_names(keys: DataFrame, history: DataFrame, both_directions: bool) ->
     """
     keys = keys.select("key").filter("key IS NOT NULL").distinct()
     names = _names(history)
-    hits = exact_matches(keys, names).withColumn("tier", F.lit(1))
-    hits = hits.unionByName(names_starting_with(keys, names).withColumn("tier", F.lit(2)))
+    hits = names_starting_with(keys, names)
+    tiered = {3: names_containing(keys, names, 5)}
     if both_directions:
-        hits = hits.unionByName(names_that_start(keys, names).withColumn("tier", F.lit(2)))
-    hits = hits.unionByName(names_containing(keys, names, 5).withColumn("tier", F.lit(3)))
+        tiered[2] = names_that_start(keys, names)
+    for tier, found in tiered.items():
+        hits = hits.unionByName(
+            found.select("key", F.struct(F.lit(tier).alias("tier"), "best").alias("hit"))
+        )
     return (
         hits.groupBy("key")
-        .agg(F.min(F.struct("tier", "best")).alias("hit"))
+        .agg(F.min("hit").alias("hit"))
         .select("key", "hit.tier", F.col(f"hit.best.{EMPLOYER}").alias(EMPLOYER))
     )
 

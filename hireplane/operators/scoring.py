@@ -258,12 +258,11 @@ def score_matches(
     )
 
 
-RANK_ORDER = [F.desc("final_score"), F.desc("match_score"), F.asc("job_id")]
-
-
 def top_ranked(scored: DataFrame, top_n: int = 30) -> DataFrame:
     """The best ``top_n`` rows per candidate."""
-    w = Window.partitionBy("candidate_id").orderBy(*RANK_ORDER)
+    w = Window.partitionBy("candidate_id").orderBy(
+        F.desc("final_score"), F.desc("match_score"), "job_id"
+    )
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
 
 

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-RAW_POSTINGS = _struct("source_ats STRING, company_slug STRING, raw STRING, scraped_at TIMESTAMP")
-JOBS_BRONZE = _struct(
+RAW_POSTINGS = "source_ats STRING, company_slug STRING, raw STRING, scraped_at TIMESTAMP"
+JOBS_BRONZE = (
     "job_id STRING, company_slug STRING, title STRING, is_target_role BOOLEAN, location STRING,"
     " posted_at STRING, scraped_at TIMESTAMP, description_html STRING, description_text STRING,"
     " departments STRING, apply_url STRING, source_ats STRING, raw_json STRING"
 )
-RUN_MANIFEST = _struct(
+JOBS_BRONZE_COLUMNS = [field.split()[0] for field in JOBS_BRONZE.split(",")]
+RUN_MANIFEST = (
     "run_date STRING, scraped_at STRING, csv_path STRING, json_path STRING, total_jobs BIGINT,"
     " target_jobs BIGINT, companies_hit BIGINT, by_ats MAP<STRING, BIGINT>"
 )
-COMPANIES = _struct("slug STRING, display_name STRING, ats STRING")
-PROFILE = _struct(
-    "name STRING, email STRING, technical_skills ARRAY<STRING>, soft_skills ARRAY<STRING>,"
-    " years_of_experience DOUBLE, job_titles ARRAY<STRING>, industries ARRAY<STRING>,"
-    " highest_degree STRING, field_of_study STRING, university STRING,"
-    " best_fit_roles ARRAY<STRING>, seniority_level STRING, profile_summary STRING"
-)
+COMPANIES = "slug STRING, display_name STRING, ats STRING"
+PROFILE = {
+    "name": "STRING", "email": "STRING", "technical_skills": "ARRAY<STRING>",
+    "soft_skills": "ARRAY<STRING>", "years_of_experience": "DOUBLE",
+    "job_titles": "ARRAY<STRING>", "industries": "ARRAY<STRING>", "highest_degree": "STRING",
+    "field_of_study": "STRING", "university": "STRING", "best_fit_roles": "ARRAY<STRING>",
+    "seniority_level": "STRING", "profile_summary": "STRING",
+}
 
 # --- fixed values: fields read from each provider's raw posting --------------
 GREENHOUSE = (
