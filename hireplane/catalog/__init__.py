@@ -4,7 +4,7 @@ from hireplane.catalog import registry
 
 
 def _load() -> None:
-    from hireplane.catalog import q_candidates, q_filings, q_postings  # noqa: F401
+    from hireplane.catalog import q_candidates, q_filings, q_postings, q_scoring  # noqa: F401
 
 
 def all_queries():

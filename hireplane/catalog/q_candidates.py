@@ -11,6 +11,7 @@ from hireplane.catalog.bindings import Inputs
 from hireplane.catalog.q_postings import silver
 from hireplane.catalog.registry import DERIVED, register, stored
 from hireplane.functions import text
+from hireplane.functions.numbers import round4
 from hireplane.operators import matching, profiles
 from hireplane.plans import ranking
 from hireplane.session import scratch_path
@@ -318,13 +319,11 @@ def _(i):
 
 DERIVED["candidates"] = (["full_profiles", "candidate_vectors"], f"""
     SELECT p.*, CAST({_UNIT.format('v.embedding')} AS FLOAT[]) AS embedding
-    FROM full_profiles p JOIN candidate_vectors v USING (candidate_id)""")
+    FROM full_profiles p LEFT JOIN candidate_vectors v USING (candidate_id)""")
 
 
 def candidates(i: Inputs) -> DataFrame:
-    return ranking.profiles_from_resumes(
-        i.resumes, i.user_inputs, i.candidate_vectors
-    ).filter("embedding IS NOT NULL")
+    return ranking.profiles_from_resumes(i.resumes, i.user_inputs, i.candidate_vectors)
 
 
 def candidate_table(i: Inputs) -> DataFrame:
@@ -352,7 +351,7 @@ DERIVED["place_pairs"] = (["candidates", "index_table"], f"""
       lambda w: length(w) > 2 AND contains(lower(j.location), w))) > 0)""")
 DERIVED["pairs"] = (["candidates", "index_table", "skill_counts", "role_pairs", "place_pairs"], """
     SELECT c.candidate_id, j.job_id,
-      list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(j.embedding AS DOUBLE[])) AS semantic,
+      coalesce(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(j.embedding AS DOUBLE[])), 0.0::DOUBLE) AS semantic,
       coalesce(CAST(s.n AS DOUBLE) / len(c.technical_skills), 0.0) AS skill,
       coalesce(s.matched, CAST([] AS VARCHAR[])) AS matched_skills,
       r.title IS NOT NULL AS role_match, p.location IS NOT NULL AS location_match
@@ -364,11 +363,11 @@ DERIVED["pairs"] = (["candidates", "index_table", "skill_counts", "role_pairs",
 
 def _matches(n: int) -> str:
     return f"""
-    SELECT candidate_id, job_id, match_score, round(semantic, 4) AS semantic_score, round(skill, 4) AS skill_overlap_score,
+    SELECT candidate_id, job_id, match_score, {q.round4('semantic')} AS semantic_score, {q.round4('skill')} AS skill_overlap_score,
       role_match, location_match, matched_skills, match_rank FROM (
       SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY match_score DESC, job_id) AS match_rank FROM (
-        SELECT *, round(0.50::DOUBLE * semantic + 0.30::DOUBLE * skill + 0.10::DOUBLE * role_match::INT
-          + 0.10::DOUBLE * location_match::INT, 4) AS match_score FROM pairs)) WHERE match_rank <= {n}"""
+        SELECT *, {q.round4("0.50::DOUBLE * semantic + 0.30::DOUBLE * skill + 0.10::DOUBLE * role_match::INT + 0.10::DOUBLE * location_match::INT")}
+          AS match_score FROM pairs)) WHERE match_rank <= {n}"""
 
 
 DERIVED["top20"] = (["pairs"], _matches(20))
@@ -417,9 +416,7 @@ def _(i):
     matched = matching.matched_skills(F.col("technical_skills"), F.col("description_text"))
     return rows.withColumn("matched_skills", matched).select(
         "candidate_id", "job_id", "matched_skills",
-        F.round(
-            matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills")), 4
-        ).alias("skill_overlap_score"),
+        round4(matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills"))).alias("skill_overlap_score"),
     )
 
 
@@ -454,7 +451,7 @@ def _(i):
         candidate_table(i).select("candidate_id", "technical_skills"), "candidate_id"
     )
     return rows.select("candidate_id", "job_id", matching.match_score(
-        matching.cosine(F.col("c"), F.col("j")),
+        F.coalesce(matching.cosine(F.col("c"), F.col("j")), F.lit(0.0)),
         matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills")),
         F.col("role_match"), F.col("location_match"),
     ).alias("match_score"))

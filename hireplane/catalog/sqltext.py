@@ -147,3 +147,12 @@ def contradiction(signal_: str, perm: str, trend: str) -> tuple[str, str]:
     note = "CASE " + " ".join(f"WHEN {c} THEN {quote(t)}" for c, t, _ in rules) + " ELSE '' END"
     adjustment = "CASE " + " ".join(f"WHEN {c} THEN {a}::DOUBLE" for c, _, a in rules) + " ELSE 0.0 END"
     return note, adjustment
+
+
+def round4(expr: str) -> str:
+    """Four digits, exact on the binary value, true ties to even."""
+    return (
+        f"list_transform([CAST({expr} AS DOUBLE)], lambda v: list_transform([floor(v * 10000)], lambda f:"
+        " list_transform([(CAST(CAST(v AS FLOAT) AS DOUBLE) * 20000 - (f * 2 + 1)) + (v - CAST(CAST(v AS FLOAT) AS DOUBLE)) * 20000],"
+        " lambda s: (f + CASE WHEN s > 0 OR (s = 0 AND CAST(f AS BIGINT) % 2 <> 0) THEN 1 ELSE 0 END) / 10000)[1])[1])[1]"
+    )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from hireplane import constants as K
 from hireplane.functions import text
+from hireplane.functions.numbers import round4, scaled4
 
 INDEX_COLUMNS = [
     "job_id", "company_slug", "title", "location", "apply_url", "posted_at", "is_active",
@@ -102,10 +103,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def match_score(semantic: Column, skill: Column, role: Column, location: Column) -> Column:
-    return F.round(
+    return round4(
         K.W_SEMANTIC * semantic + K.W_SKILL * skill + K.W_ROLE * role.cast("double")
-        + K.W_LOCATION * location.cast("double"),
-        4,
+        + K.W_LOCATION * location.cast("double")
     )
 
 
@@ -197,7 +197,7 @@ class _Block:
         )
         # Rounded score first, then arrival order: jobs arrive by ascending id.
         seq = self.seen + np.arange(jobs.num_rows)
-        key = (np.rint(total * 10_000).astype(np.int64) << 40) - seq[:, None]
+        key = (scaled4(total) << 40) - seq[:, None]
         j, c = np.nonzero(key > self.floor[None, :])
         self.best.append(
             np.rec.fromarrays(
@@ -235,8 +235,8 @@ class _Block:
                 pa.array(self.ids[rows["c"]]),
                 pa.array([self.jobs[s] for s in rows["seq"].tolist()], type=pa.string()),
                 pa.array(score),
-                pa.array(np.rint(rows["semantic"] * 10_000) / 10_000),
-                pa.array(np.rint(rows["skill"] * 10_000) / 10_000),
+                pa.array(scaled4(rows["semantic"]) / 10_000),
+                pa.array(scaled4(rows["skill"]) / 10_000),
                 pa.array(rows["role"]),
                 pa.array(rows["place"]),
             ],

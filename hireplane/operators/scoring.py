@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hireplane import constants as K
 from hireplane.functions import dates
+from hireplane.functions.numbers import round4
 from hireplane.functions.signals import by_label, signal_delta, sponsorship_signal
 
 
@@ -46,12 +47,11 @@ def contradiction(signal: Column, perm_total: Column, trend: Column) -> Column:
 
 
 def final_score(match: Column, visa: Column, recency: Column, international: Column) -> Column:
-    return F.round(
+    return round4(
         F.when(
             international,
             K.W_INT_MATCH * match + K.W_INT_VISA * visa + K.W_INT_RECENCY * recency,
-        ).otherwise(K.W_DOM_MATCH * match + K.W_DOM_RECENCY * recency),
-        4,
+        ).otherwise(K.W_DOM_MATCH * match + K.W_DOM_RECENCY * recency)
     )
 
 
@@ -247,7 +247,7 @@ def score_matches(
     return rows.select(
         *SCORED_COLUMNS[:14],
         "recency_score", "days_since_posted",
-        F.round("raw_confidence", 4).alias("visa_confidence"),
+        round4(F.col("raw_confidence")).alias("visa_confidence"),
         F.when(visa, F.col("signal")).otherwise("n/a").alias("sponsorship_signal"),
         F.when(visa, F.col("perm_total")).otherwise(F.lit(0)).alias("perm_filings_total"),
         F.when(visa, F.col("trend")).otherwise("n/a").alias("sponsorship_trend"),
