@@ -219,22 +219,15 @@ SCORED_COLUMNS = [
 ]
 
 
-def score_matches(
-    matches: DataFrame, profiles: DataFrame, as_of: datetime | str, audit: bool = True
-) -> DataFrame:
-    """Scored rows from matches that carry signal and evidence columns.
+def add_scores(rows: DataFrame, as_of: datetime | str, audit: bool = True) -> DataFrame:
+    """Recency, confidence and final score.
 
-    ``audit`` checks signals against the filing history and uses the short
-    wording; without it neither the check nor its adjustment is applied.
-    Candidates who need no sponsorship get NULL confidence and 'n/a' labels.
+    Needs posted_at, match_score, signal, signal_delta, base_score, perm_total,
+    trend and requires_sponsorship; no text column is touched. ``audit`` checks
+    signals against the filing history.
     """
-    asked = profiles.select(
-        "candidate_id", "requires_sponsorship", "technical_skills", "target_roles", "best_fit_roles"
-    )
     visa = F.col("requires_sponsorship")
-    rows = matches.join(asked, "candidate_id").withColumn(
-        "days_since_posted", dates.days_since(F.col("posted_at"), as_of)
-    )
+    rows = rows.withColumn("days_since_posted", dates.days_since(F.col("posted_at"), as_of))
     rows = rows.withColumn("recency_score", dates.recency(F.col("days_since_posted")))
     confidence = F.col("base_score") + F.col("signal_delta")
     if audit:
@@ -243,6 +236,18 @@ def score_matches(
         )
         confidence = confidence + F.col("contradiction.adjustment")
     rows = rows.withColumn("raw_confidence", F.when(visa, clamp(confidence)))
+    return rows.withColumn(
+        "final_score",
+        final_score(F.col("match_score"), F.col("raw_confidence"), F.col("recency_score"), visa),
+    )
+
+
+def present(rows: DataFrame, audit: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Output columns and explanation of scored rows joined with job and candidate columns.
+
+    Candidates who need no sponsorship get NULL confidence and 'n/a' labels.
+    """
+    visa = F.col("requires_sponsorship")
     explanation = audit_explanation() if audit else library_explanation()
     return rows.select(
         *SCORED_COLUMNS[:14],
@@ -251,11 +256,20 @@ def score_matches(
         F.when(visa, F.col("signal")).otherwise("n/a").alias("sponsorship_signal"),
         F.when(visa, F.col("perm_total")).otherwise(F.lit(0)).alias("perm_filings_total"),
         F.when(visa, F.col("trend")).otherwise("n/a").alias("sponsorship_trend"),
-        final_score(
-            F.col("match_score"), F.col("raw_confidence"), F.col("recency_score"), visa
-        ).alias("final_score"),
+        "final_score",
         explanation.alias("reasoning"),
+        *extra,
+    )
+
+
+def score_matches(
+    matches: DataFrame, profiles: DataFrame, as_of: datetime | str, audit: bool = True
+) -> DataFrame:
+    """Scored and explained rows from matches that carry signal and evidence columns."""
+    asked = profiles.select(
+        "candidate_id", "requires_sponsorship", "technical_skills", "target_roles", "best_fit_roles"
     )
+    return present(add_scores(matches.join(asked, "candidate_id"), as_of, audit), audit)
 
 
 def top_ranked(scored: DataFrame, top_n: int = 30) -> DataFrame:

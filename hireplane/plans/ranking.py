@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hireplane.operators import matching, profiles as prof, resolve, scoring
 
@@ -36,9 +37,29 @@ def rank_profiles(
     profiles: DataFrame, index: DataFrame, history: DataFrame, as_of: datetime | str,
     top_n: int = TOP_N, candidate_top_n: int = HANDOFF,
 ) -> DataFrame:
-    """Match, score with the audit rules, keep the best ``top_n`` per candidate."""
-    matches = matching.match_candidates(profiles, enrich_index(index, history), candidate_top_n)
-    return scoring.top_ranked(scoring.score_matches(matches, profiles, as_of), top_n)
+    """Match, score with the audit rules, keep the best ``top_n`` per candidate.
+
+    Hand-off rows are scored on short columns only. Job texts, matched skills
+    and explanations are added to the rows that remain.
+    """
+    pairs = matching.score_pairs(profiles, index, candidate_top_n)
+    facts = enrich_index(index, history).select(
+        "job_id", "posted_at", "signal", "signal_delta", "base_score", "perm_total", "trend"
+    )
+    need = profiles.select("candidate_id", "requires_sponsorship")
+    rows = matching.top_matches(pairs, candidate_top_n).join(facts, "job_id").join(need, "candidate_id")
+    best = scoring.top_ranked(scoring.add_scores(rows, as_of), top_n)
+
+    jobs = index.select(
+        "job_id", "company_slug", "title", "location", "apply_url",
+        F.col("description_clean").alias("description_text"),
+    )
+    asked = profiles.select("candidate_id", "technical_skills", "target_roles", "best_fit_roles")
+    full = best.join(jobs, "job_id").join(asked, "candidate_id").withColumn(
+        "matched_skills",
+        matching.matched_skills(F.col("technical_skills"), F.col("description_text")),
+    )
+    return scoring.present(full, extra=("rank",))
 
 
 def profiles_from_resumes(
