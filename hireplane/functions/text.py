@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,16 @@ COMMON_ENTITIES = {
 }
 
 
+def literal(values: list, kind: str = "array<string>") -> Column:
+    """A constant list; built in one call and folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where ``body`` loops over it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions: list[Column]) -> Column:
     out = conditions[0]
     for cond in conditions[1:]:
@@ -122,7 +133,7 @@ def is_us_location(location: Column) -> Column:
         (F.contains(loc, F.lit("remote")) & contains_any(loc, K.REMOTE_US_TOKENS))
         | (strip(loc) == "remote")
         | contains_any(loc, ["united states", ", usa", " usa"])
-        | F.arrays_overlap(parts, F.array(*[F.lit(s) for s in K.US_STATES]))
+        | F.arrays_overlap(parts, literal(K.US_STATES))
     )
 
 

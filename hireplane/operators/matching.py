@@ -57,10 +57,7 @@ def wanted_roles(target: Column, best_fit: Column) -> Column:
 
 def role_terms(roles: Column) -> Column:
     """Title keywords of the roles; an unknown role stands for itself."""
-    known = F.create_map(
-        *[x for role, words in K.ROLE_KEYWORDS.items()
-          for x in (F.lit(role), F.array(*[F.lit(w) for w in words]))]
-    )
+    known = text.literal(K.ROLE_KEYWORDS, "map<string, array<string>>")
     return F.flatten(
         F.transform(roles, lambda r: F.coalesce(F.try_element_at(known, r), F.array(F.lower(r))))
     )
@@ -88,8 +85,10 @@ def location_match(location: Column, preferred: Column) -> Column:
 
 
 def matched_skills(skills: Column, description: Column) -> Column:
-    lowered = F.lower(F.coalesce(description, F.lit("")))
-    return F.filter(skills, lambda s: F.contains(lowered, F.lower(s)))
+    return text.bind(
+        F.lower(F.coalesce(description, F.lit(""))),
+        lambda lowered: F.filter(skills, lambda s: F.contains(lowered, F.lower(s))),
+    )
 
 
 def skill_overlap(skills: Column, matched: Column) -> Column:

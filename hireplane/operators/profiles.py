@@ -39,14 +39,9 @@ def skills(body: Column, lowered: Column) -> Column:
     A plain substring test comes first, so a regular expression only runs for
     skills whose letters do occur.
     """
-    taxonomy = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("skill"), F.lit(s.lower()).alias("needle"),
-                F.lit(_skill_pattern(s)).alias("pattern"),
-            )
-            for s in K.ALL_SKILLS
-        ]
+    taxonomy = text.literal(
+        [{"skill": s, "needle": s.lower(), "pattern": _skill_pattern(s)} for s in K.ALL_SKILLS],
+        "array<struct<skill: string, needle: string, pattern: string>>",
     )
     hits = F.filter(
         taxonomy, lambda s: F.contains(lowered, s["needle"]) & F.regexp_like(body, s["pattern"])
@@ -118,18 +113,23 @@ def industries(lowered: Column) -> Column:
 
 def role_scores(found: Column) -> Column:
     """Per role the number of its signal skills among the skills found."""
-    lowered = F.transform(found, F.lower)
-    return F.array(
-        *[
-            F.struct(
-                F.lit(role).alias("role"),
-                F.size(
-                    F.array_intersect(lowered, F.array(*[F.lit(s.lower()) for s in signals]))
-                ).alias("score"),
-                F.lit(i).alias("ord"),
-            )
+    roles = text.literal(
+        [
+            {"role": role, "signals": [s.lower() for s in signals], "ord": i}
             for i, (role, signals) in enumerate(K.ROLE_SIGNALS.items())
-        ]
+        ],
+        "array<struct<role: string, signals: array<string>, ord: int>>",
+    )
+    return text.bind(
+        F.transform(found, F.lower),
+        lambda lowered: F.transform(
+            roles,
+            lambda r: F.struct(
+                r["role"].alias("role"),
+                F.size(F.array_intersect(lowered, r["signals"])).alias("score"),
+                r["ord"].alias("ord"),
+            ),
+        ),
     )
 
 

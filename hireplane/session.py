@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Little data, much work per row: keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
