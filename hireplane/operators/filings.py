@@ -26,14 +26,15 @@ def perm_cases(raw: DataFrame) -> DataFrame:
         dates.lenient_timestamp(F.col("DECISION_DATE")).alias("decision_date"),
         F.col("JOB_TITLE").alias("job_title"),
     )
-    return cases.select(
-        text.normalize_company(F.col("company_name")).alias(EMPLOYER),
+    named = text.computed_once(cases, EMPLOYER, text.normalize_company(F.col("company_name")))
+    return named.filter(F.col(EMPLOYER) != "").select(
+        EMPLOYER,
         F.col("company_name").alias("company_name_raw"),
         "state", "naics", "fein", "case_status", "decision_date", "job_title",
         dates.fiscal_year(F.col("decision_date")).alias("fiscal_year"),
         F.coalesce(F.col("case_status").isin(K.APPROVED_STATUSES), F.lit(False)).alias("is_approved"),
         F.coalesce(F.col("case_status").isin(K.DENIED_STATUSES), F.lit(False)).alias("is_denied"),
-    ).filter(F.col(EMPLOYER) != "")
+    )
 
 
 def union_cases(parts: list[DataFrame]) -> DataFrame:
@@ -182,13 +183,22 @@ def uscis_totals(raw: DataFrame) -> DataFrame:
             total = total + F.coalesce(F.col(f"`{name}`").try_cast("double"), F.lit(0.0)).cast("bigint")
         return total
 
-    rows = raw.select(
-        text.normalize_company(F.col(f"`{K.USCIS_NAME}`")).alias(EMPLOYER),
-        F.col(f"`{K.USCIS_YEAR}`").try_cast("double").cast("int").alias("fiscal_year"),
-        row_total("Approval").alias("approvals"),
-        row_total("Denial").alias("denials"),
-    ).filter(F.col(EMPLOYER) != "")
-    return rows.groupBy(EMPLOYER).agg(
+    # Sums per written name first: names are normalised once each, not once per row.
+    written = (
+        raw.select(
+            F.col(f"`{K.USCIS_NAME}`").alias("name"),
+            F.col(f"`{K.USCIS_YEAR}`").try_cast("double").cast("int").alias("fiscal_year"),
+            row_total("Approval").alias("approvals"),
+            row_total("Denial").alias("denials"),
+        )
+        .groupBy("name")
+        .agg(
+            F.sum("approvals").alias("approvals"), F.sum("denials").alias("denials"),
+            F.max("fiscal_year").alias("fiscal_year"),
+        )
+    )
+    named = text.computed_once(written, EMPLOYER, text.normalize_company(F.col("name")))
+    return named.filter(F.col(EMPLOYER) != "").groupBy(EMPLOYER).agg(
         F.sum("approvals").alias("uscis_total_approvals"),
         F.sum("denials").alias("uscis_total_denials"),
         F.max("fiscal_year").alias("uscis_last_fiscal_year"),
