@@ -275,15 +275,19 @@ def _block_task(top_n: int):
     return run
 
 
+def blocks_for(candidates: DataFrame, per_block: int = 4096) -> int:
+    """Candidate blocks needed to keep each within ``per_block`` rows on average."""
+    return max(1, math.ceil(candidates.count() / per_block))
+
+
 def score_pairs(
     profiles: DataFrame, index: DataFrame, top_n: int,
     candidate_blocks: int | None = None, job_blocks: int | None = None,
-    candidates_per_block: int = 4096,
 ) -> DataFrame:
     """Best ``top_n`` jobs of every candidate within each (candidate block, job block)."""
     spark = profiles.sparkSession
     if candidate_blocks is None:
-        candidate_blocks = max(1, math.ceil(profiles.count() / candidates_per_block))
+        candidate_blocks = blocks_for(profiles)
     if job_blocks is None:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         job_blocks = max(1, math.ceil(tasks / candidate_blocks))

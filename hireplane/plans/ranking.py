@@ -35,14 +35,14 @@ def score_given_matches(
 
 def rank_profiles(
     profiles: DataFrame, index: DataFrame, history: DataFrame, as_of: datetime | str,
-    top_n: int = TOP_N, candidate_top_n: int = HANDOFF,
+    top_n: int = TOP_N, candidate_top_n: int = HANDOFF, candidate_blocks: int | None = None,
 ) -> DataFrame:
     """Match, score with the audit rules, keep the best ``top_n`` per candidate.
 
     Hand-off rows are scored on short columns only. Job texts, matched skills
     and explanations are added to the rows that remain.
     """
-    pairs = matching.score_pairs(profiles, index, candidate_top_n)
+    pairs = matching.score_pairs(profiles, index, candidate_top_n, candidate_blocks)
     facts = enrich_index(index, history).select(
         "job_id", "posted_at", "signal", "signal_delta", "base_score", "perm_total", "trend"
     )
@@ -82,4 +82,6 @@ def rank_resumes(
 ) -> DataFrame:
     """From résumé texts to ranked jobs."""
     profiles = profiles_from_resumes(resumes, inputs, vectors)
-    return rank_profiles(profiles, index, history, as_of, top_n, candidate_top_n)
+    # Counted on the stored texts, so that no profile is extracted just to be counted.
+    blocks = matching.blocks_for(resumes.select("candidate_id"))
+    return rank_profiles(profiles, index, history, as_of, top_n, candidate_top_n, blocks)
