@@ -73,6 +73,23 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+ORACLES["op4_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '{WORD}') AS w FROM documents),
+g AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p) WHERE len(w) >= 50
+), m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM g JOIN m USING (h) WHERE least < doc_id),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (
+  SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed,
+    string_agg(word, ' ' ORDER BY w.p) FILTER (WHERE gone.p IS NULL) AS kept
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id
+)
+SELECT doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def mix_sql(docs: str, weights: dict[str, float], default: float, size: float, seed: int, columns: str) -> str:
     """Copies by the inverse Poisson distribution at the MD5 number of each id."""
     arms = " ".join(f"WHEN '{name}' THEN {value}" for name, value in weights.items())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hireplane.llm import decontamination, language, mixing, preferences, quality_ranking, quality_rules, toxicity
+from hireplane.llm import decontamination, language, mixing, preferences, quality_ranking, quality_rules, simhash, substrings, toxicity
 from hireplane.llm.oracles import ORACLES  # noqa: F401
 from hireplane.llm.samples import id_remainder
 
@@ -42,6 +42,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, size=MIX_SIZE, seed=MIX_SEED)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
     return preferences.format_pairs(pairs)
@@ -70,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_mix_sources, op6_chat_preferences, op7_language, op9_quality_classifier, op10_toxicity)
+    for f in (op1_decontamination, op2_quality_rules, op3_mix_sources, op4_substring_dedup, op5_simhash, op6_chat_preferences, op7_language, op9_quality_classifier, op10_toxicity)
 }
