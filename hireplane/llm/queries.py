@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hireplane.llm import decontamination, language, mixing, preferences, quality_ranking, quality_rules, simhash, substrings, toxicity
+from hireplane.llm import decontamination, language, mixing, preferences, quality_ranking, quality_rules, simhash, substrings, toxicity, wrappers
 from hireplane.llm.oracles import ORACLES  # noqa: F401
 from hireplane.llm.samples import id_remainder
 
@@ -64,6 +64,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = wrappers.extract(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_remainder("doc_id", 5) == 0
@@ -80,5 +85,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_mix_sources, op4_substring_dedup, op5_simhash, op6_chat_preferences, op7_language, op9_quality_classifier, op10_toxicity)
+    for f in (op1_decontamination, op2_quality_rules, op3_mix_sources, op4_substring_dedup, op5_simhash, op6_chat_preferences, op7_language, op8_html_text, op9_quality_classifier, op10_toxicity)
 }
