@@ -18,7 +18,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """``links`` (a, b) to (node, component), the least node that can be reached.
+    """``links`` (a, b) to (node, component), the least node that can be reached; that node itself has no row.
 
     Large-star and small-star steps in turn: each node's neighbours are hung on
     the least node known around it until nothing changes, in logarithmically

@@ -266,10 +266,10 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def cut(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
     """The documents with every hit span cut out of the text, and ``n_hit``; ids have to be unique."""
     found = hits(docs, items, id_col, text_col, item_id, window).where("n_hit > 0").select(F.col(id_col).alias("_id"), "bytes", F.col("n_hit").alias("_n_hit"))
-    data = F.encode(F.col(text_col), "utf-8")
-    stops = F.transform("bytes", lambda s: s["stop"])
-    starts = F.concat(F.transform("bytes", lambda s: s["start"]), F.array(F.length(data)))
+    data, spans = F.encode(docs[text_col], "utf-8"), found["bytes"]
+    stops = F.transform(spans, lambda s: s["stop"])
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(data)))
     pieces = F.zip_with(F.concat(F.array(F.lit(0)), stops), starts, lambda a, b: F.decode(F.substring(data, a + 1, b - a), "utf-8"))
     joined = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")
-    rest = F.when(F.col("bytes").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
-    return joined.select(*[rest.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("_n_hit", F.lit(0)).alias("n_hit"))
+    rest = F.when(spans.isNull(), docs[text_col]).otherwise(F.array_join(pieces, ""))
+    return joined.select(*[rest.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(found["_n_hit"], F.lit(0)).alias("n_hit"))

@@ -61,7 +61,7 @@ def counted(
     docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, size: float = 1.0,
     seed: int = 17, id_col: str = "doc_id", source_col: str = "source",
 ) -> DataFrame:
-    """The documents with ``_count``, their number of copies.
+    """The documents with their number of copies in the last column, ``_count`` (with more ``_`` if that is taken).
 
     Up to ``BROADCAST_SOURCES`` rows of rates (counted, about 1 kB each) are
     broadcast, so no text is shuffled by source; beyond, the join is salted.
@@ -71,11 +71,14 @@ def counted(
         joined = docs.join(F.broadcast(by_source), docs[source_col].eqNullSafe(by_source["_source"]), "left")
     else:
         salt = F.pmod(F.xxhash64(docs[id_col]), F.lit(SALTS)).cast("int")
-        spread = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(spread, docs[source_col].eqNullSafe(spread["_source"]) & (salt == spread["_salt"]), "left")
+        by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(by_source, docs[source_col].eqNullSafe(by_source["_source"]) & (salt == by_source["_salt"]), "left")
     u = unit(seed, docs[id_col])
-    count = F.size(F.filter("_cdf", lambda c: c <= u))
-    return joined.select(*[docs[c] for c in docs.columns], count.alias("_count"))
+    count = F.size(F.filter(by_source["_cdf"], lambda c: c <= u))
+    name = "_count"
+    while name in docs.columns:
+        name = "_" + name
+    return joined.select(*[docs[c] for c in docs.columns], count.alias(name))
 
 
 def mix(
@@ -88,6 +91,7 @@ def mix(
     """
     keep = [c for c in docs.columns if c not in (COPY, ORDER)]
     copies = counted(docs.select(*keep), weights, default_weight, size, seed, id_col, source_col)
-    copies = copies.where("_count > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias(COPY))
+    count = F.col(copies.columns[-1])
+    copies = copies.where(count > 0).select(*keep, F.explode(F.sequence(F.lit(1), count)).alias(COPY))
     copies = copies.withColumn(ORDER, unit(seed + 1, F.col(id_col), F.col(COPY)))
     return copies.orderBy(ORDER, id_col, COPY)
