@@ -7,7 +7,6 @@ text in both engines, then Spark runs the operator and DuckDB the reference SQL.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +35,7 @@ class Spark:
             view = f"in_{name}_{zlib.crc32(self.sf_dir.encode())}"
             self.spark.read.parquet(path).createOrReplaceTempView(view)
             self._views[key] = view
-        view = self._views[key]
-        # A table that is one small file would be read, and all that follows done, by one task.
-        spread = name in ("events", "documents") and os.path.isfile(path)
-        return f"(SELECT /*+ REPARTITION(8) */ * FROM {view})" if spread else view
+        return self._views[key]
 
     def minus_days(self, date: str, days: str) -> str:
         return f"date_sub({date}, CAST({days} AS INT))"
@@ -240,7 +236,7 @@ def sources(d) -> dict[str, tuple[list[str], str]]:
     number = "CAST(x.doc_id AS STRING)"
     out["extracted"] = ([], f"""
         SELECT x.doc_id AS candidate_id, CASE x.doc_id % 7
-          WHEN 0 THEN '{{"name": "  Person ' || {number} || ' ", "email": "p' || {number} || '@example.com", "technical_skills": ["Python", "", null, "SQL", 7], "soft_skills": "none", "years_of_experience": "4.5", "job_titles": ["Data Engineer"], "highest_degree": "PhD", "best_fit_roles": ["Data Engineer"], "seniority_level": "Senior", "profile_summary": " Good. "}}'
+          WHEN 0 THEN '{{"name": "  Person ' || {number} || ' ", "email": "p' || {number} || '@example.com", "technical_skills": ["Python", "", null, "SQL", 7, "0", 0, false, true, "false"], "soft_skills": "none", "years_of_experience": "4.5", "job_titles": ["Data Engineer"], "highest_degree": "PhD", "best_fit_roles": ["Data Engineer"], "seniority_level": "Senior", "profile_summary": " Good. "}}'
           WHEN 1 THEN '{{"name": null, "technical_skills": null, "years_of_experience": 3, "seniority_level": "Guru", "university": "X ' || x.lang || '"}}'
           WHEN 2 THEN 'not json at all {{'
           WHEN 3 THEN '["a list", "is no profile"]'

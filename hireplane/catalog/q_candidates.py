@@ -161,9 +161,12 @@ def _(i):
 
 def _json_list(field: str) -> str:
     path = f"'$.{field}'"
+    # Of the items' JSON texts, all but the empty text, zeros, false, null, and empty lists and objects.
+    keep = "lambda x: x NOT IN ('\"\"', '0', '0.0', '-0', '-0.0', 'false', 'null', '[]', '{}')"
+    show = "lambda x: CASE x WHEN 'true' THEN 'True' ELSE coalesce(x ->> '$', x) END"
     return (
-        f"CASE WHEN json_type(extracted, {path}) = 'ARRAY' THEN list_filter("
-        f"json_extract_string(extracted, '$.{field}[*]'), lambda x: x IS NOT NULL AND x NOT IN ('', '0', 'false'))"
+        f"CASE WHEN json_type(extracted, {path}) = 'ARRAY' THEN list_transform(list_filter("
+        f"CAST(json_extract(extracted, '$.{field}[*]') AS VARCHAR[]), {keep}), {show})"
         " ELSE CAST([] AS VARCHAR[]) END"
     )
 

@@ -302,7 +302,7 @@ def _(i):
 def _(i):
     path = scratch_path(i.spark, "companies")
     i.companies.write.json(path)
-    return i.spark.read.schema(S.COMPANIES).json(path)
+    return readers.read_companies(i.spark, path)
 
 
 @register("s7_bronze_sink", (["jobs_bronze"], f"""
@@ -334,7 +334,7 @@ def _(i):
     bronze = postings.parse_postings(postings.choose_provider(raw_postings(i), i.companies))
     writers.append_manifest(bronze, path)
     stored = i.spark.read.schema(S.RUN_MANIFEST).json(f"{path}/manifest")
-    return stored.drop("csv_path", "json_path")
+    return stored.drop("csv_path", "json_path", "day")
 
 
 @register("s9_silver_sink", (["silver"], f"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hireplane import constants as K
+from hireplane import schemas as S
 from hireplane.catalog import sqltext as q
 from hireplane.catalog.bindings import FILINGS_AS_OF, POSTINGS_AS_OF, Inputs
 from hireplane.catalog.q_candidates import candidate_table, index_table, top20
@@ -17,6 +19,7 @@ from hireplane.operators import resolve, scoring, serving
 from hireplane.plans import ranking
 from hireplane.plans.refresh import refresh
 from hireplane.session import scratch_path
+from hireplane.sources import readers
 
 
 def silver_table(i: Inputs) -> DataFrame:
@@ -189,7 +192,7 @@ _SCORED_OUT = ", ".join(q.joined(c) + f" AS {c}" if c == "matched_skills" else c
 
 def scored_library(i: Inputs) -> DataFrame:
     return ranking.score_given_matches(
-        top20(i).drop("match_rank"), candidate_table(i), history_table(i), POSTINGS_AS_OF
+        top20(i).drop("match_rank"), candidate_table(i), history_table(i), POSTINGS_AS_OF, jobs=index_table(i)
     )
 
 
@@ -328,9 +331,10 @@ def _(i):
 
 
 @register("k3_user_sort", (["ranked"], """
-    SELECT candidate_id, job_id, recency_score FROM ranked ORDER BY candidate_id, recency_score DESC, job_id"""))
+    SELECT candidate_id, job_id, recency_score,
+      row_number() OVER (PARTITION BY candidate_id ORDER BY recency_score DESC, rank) AS position FROM ranked"""))
 def _(i):
-    return serving.sort_results(results(i), "recency_score").select("candidate_id", "job_id", "recency_score")
+    return serving.sort_results(results(i), "recency_score").select("candidate_id", "job_id", "recency_score", "position")
 
 
 @register("g14_result_summary", (["ranked"], f"""
@@ -347,25 +351,50 @@ def _(i):
 
 DERIVED["refreshed"] = (["chosen"], f"""
     SELECT * FROM chosen WHERE {q.us_location('location')}""")
-DERIVED["refreshed_jobs"] = (["refreshed"], """
-    SELECT job_id, bool_or(is_target_role) AS is_target_role FROM (
-      SELECT *, max(scraped_at) OVER (PARTITION BY job_id) AS last FROM refreshed) WHERE scraped_at = last GROUP BY ALL""")
-
-
-@register("t9_refresh", (["refreshed", "refreshed_jobs", "history"], """
-    SELECT 'bronze' AS table_name, count(*) AS n FROM refreshed UNION ALL
-    SELECT 'jobs', count(*) FROM refreshed_jobs UNION ALL
-    SELECT 'sponsorship', count(*) FROM history UNION ALL
-    SELECT 'index', count(*) FROM refreshed_jobs WHERE is_target_role"""))
+_TIES = ["source_ats", "company_slug", "apply_url", "departments", "description_html", q.page_text("description_html"), "is_target_role",
+         "location", "posted_at", "title"]
+DERIVED["refreshed_jobs"] = (["refreshed"], f"""
+    SELECT job_id, arg_max(title, k) FILTER (WHERE title IS NOT NULL) AS title,
+      arg_max(is_target_role, k) FILTER (WHERE is_target_role IS NOT NULL) AS is_target_role,
+      arg_max(company_slug, k) FILTER (WHERE company_slug IS NOT NULL) AS company_slug,
+      arg_max(source_ats, k) FILTER (WHERE source_ats IS NOT NULL) AS source_ats, max(scraped_at) AS last
+    FROM (SELECT *, strftime(scraped_at, '%Y%m%d%H%M%S') || lpad(CAST(CAST('0x' || substr(
+      md5(array_to_string([{', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _TIES)}], chr(31))), 1, 15) AS BIGINT) AS VARCHAR), 19, '0') AS k
+      FROM refreshed) GROUP BY job_id""")
+
+
+@register("t9_refresh", (["refreshed", "refreshed_jobs", "history"], f"""
+    SELECT 'bronze' AS table_name, job_id AS key, company_slug || '|' || source_ats || '|' || {q.ts('scraped_at')} AS detail FROM refreshed UNION ALL
+    SELECT 'csv', job_id, company_slug || '|' || source_ats || '|' || coalesce(title, '') FROM refreshed UNION ALL
+    SELECT 'jobs', job_id, concat_ws('|', title, is_target_role, company_slug, source_ats, {q.ts('last')}) FROM refreshed_jobs UNION ALL
+    SELECT 'sponsorship', company_name_norm, CAST(total_perm_certified AS VARCHAR) FROM history UNION ALL
+    SELECT 'index', job_id, company_slug FROM refreshed_jobs WHERE is_target_role UNION ALL
+    SELECT 'manifest', strftime(scraped_at, '%Y-%m-%d'), CAST(count(*) AS VARCHAR) FROM refreshed GROUP BY scraped_at"""))
 def _(i):
+    """Runs twice; the second run has to leave all tables as they are."""
     vectors = i.job_vectors.withColumn("job_id", F.substring("job_id", 2, 100))
-    paths = refresh(
-        i.spark, raw_postings(i), i.companies, [i.perm_old, i.perm_new], uscis_raw(i), vectors,
-        scratch_path(i.spark, "refresh"), POSTINGS_AS_OF, FILINGS_AS_OF,
-    )
-    out = None
-    for name, path in paths.items():
-        table = i.spark.read.json(path + "/json") if name == "bronze" else i.spark.read.parquet(path)
-        counted = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    out = scratch_path(i.spark, "refresh")
+    for _ in range(2):
+        paths = refresh(
+            i.spark, raw_postings(i), i.companies, [i.perm_old, i.perm_new], uscis_raw(i), vectors, out, POSTINGS_AS_OF, FILINGS_AS_OF,
+        )
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    joined = lambda *cols: F.concat_ws("|", *[F.col(c) if isinstance(c, str) else c for c in cols])
+    bronze = readers.read_bronze(i.spark, paths["bronze"] + "/json")
+    reduced = T.StructType([f for f in T.StructType.fromDDL(S.JOBS_BRONZE).fields if f.name not in ("raw_json", "description_html")])
+    sheet = readers.read_csv_table(i.spark, paths["bronze"] + "/csv", reduced)
+    jobs, history, index = (i.spark.read.parquet(paths[n]) for n in ("jobs", "sponsorship", "index"))
+    manifest = i.spark.read.schema(S.RUN_MANIFEST).json(paths["bronze"] + "/manifest")
+    parts = [
+        ("bronze", bronze, "job_id", joined("company_slug", "source_ats", stamp("scraped_at"))),
+        ("csv", sheet, "job_id", joined("company_slug", "source_ats", F.coalesce("title", F.lit("")))),
+        ("jobs", jobs, "job_id", joined("title", F.col("is_target_role").cast("string"), "company_slug", "source_ats", stamp("last_seen"))),
+        ("sponsorship", history, "company_name_norm", F.col("total_perm_certified").cast("string")),
+        ("index", index, "job_id", F.col("company_slug")),
+        ("manifest", manifest, "run_date", F.col("total_jobs").cast("string")),
+    ]
+    rows = [df.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), detail.alias("detail")) for name, df, key, detail in parts]
+    table = rows[0]
+    for part in rows[1:]:
+        table = table.unionByName(part)
+    return table

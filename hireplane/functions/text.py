@@ -91,13 +91,17 @@ def decode_entities(col: Column) -> Column:
 
 
 def text_nodes(raw: Column) -> Column:
-    """Tags to newlines; script, style, comments and doctype dropped."""
+    """Tags to newlines; script, style, comments, doctype and processing instructions dropped.
+
+    A quoted attribute value may hold ``>``. An unclosed script, style or
+    template ends with the text.
+    """
     mark = "\u0001"
     col = F.coalesce(raw, F.lit(""))
     col = F.regexp_replace(
-        col, r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>", mark
+        col, r"(?is)<(script|style|template)\b.*?(?:</\1\s*>|\z)|<!--.*?-->|<![^>]*>|<\?[^>]*>", mark
     )
-    col = F.regexp_replace(col, r"</?[A-Za-z][^>]*>", mark)
+    col = F.regexp_replace(col, r"""</?[A-Za-z](?:[^>"']++|"[^"]*"|'[^']*')*+>|</?[A-Za-z][^>]*>""", mark)
     return F.regexp_replace(col, f"{mark}+", "\n")
 
 

@@ -5,6 +5,10 @@ two tables, but the pairs are never materialised. Both sides are cut into
 blocks by a hash of their unique ids, each task takes one (candidate block, job
 block), streams the jobs in Arrow batches past the block's candidates, and
 keeps the best ``top_n`` per candidate. Only those rows are shuffled again.
+
+Job texts are searched once per job, before the blocks: a job goes to them as
+its id, its vector and the hashes of the skills, roles and places it names. All
+vectors must have one length; another one is an error, a missing one scores 0.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ SCORES = (
 )
 
 
+TERMS_PER_CHUNK = 5000
+JOBS_PER_BLOCK = 200_000
+
+
 def unit_vector(vector: Column) -> Column:
     wide = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
@@ -110,50 +118,38 @@ def match_score(semantic: Column, skill: Column, role: Column, location: Column)
 
 # --- the block task ----------------------------------------------------------
 
-def _strings(column: pa.Array) -> list[str]:
-    return [v or "" for v in column.to_pylist()]
-
-
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; a missing or odd-sized vector scores 0 everywhere."""
-    good = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False) == width
+    """Vectors as rows; a missing vector scores 0 everywhere."""
+    good = column.is_valid().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), width))
     if width:
-        values = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False)
-        out[good] = values.reshape(-1, width)
+        out[good] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     return out
 
 
-def _term_matrix(term_lists: list[list[str]], weigh: bool) -> tuple[list[str], np.ndarray]:
-    """Distinct terms and a terms-by-candidates matrix (shares of a list, or 0/1)."""
-    terms = sorted({t for ts in term_lists for t in ts or []})
-    at = {t: i for i, t in enumerate(terms)}
+def _term_matrix(term_lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct term hashes and a terms-by-candidates matrix of counts."""
+    owner, values = _flat(term_lists)
+    terms, place = np.unique(values, return_inverse=True)
     out = np.zeros((len(terms), len(term_lists)))
-    for c, ts in enumerate(term_lists):
-        for t in ts or []:
-            out[at[t], c] = out[at[t], c] + 1.0 / len(ts) if weigh else 1.0
+    np.add.at(out, (place, owner), 1)
     return terms, out
 
 
-def _hits(texts: list[str], terms: list[str]) -> np.ndarray:
-    """Texts-by-terms 0/1 matrix of plain substring hits."""
-    out = np.zeros((len(texts), len(terms)))
-    if len(terms) <= 300:
-        for i, body in enumerate(texts):
-            out[i] = [t in body for t in terms]
-        return out
-    import ahocorasick  # one pass over each text, whatever the number of terms
-
-    automaton = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
-        if t:
-            automaton.add_word(t, i)
-        else:
-            out[:, i] = 1.0
-    automaton.make_automaton()
-    for i, body in enumerate(texts):
-        for _, j in automaton.iter(body):
-            out[i, j] = 1.0
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every item."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _hits(found: pa.ListArray, terms: np.ndarray) -> np.ndarray:
+    """Jobs-by-terms 0/1 matrix of the terms that each job names."""
+    out = np.zeros((len(found), len(terms)))
+    owner, values = _flat(found)
+    if len(terms) and len(values):
+        at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
+        known = terms[at] == values
+        out[owner[known], at[known]] = 1
     return out
 
 
@@ -168,9 +164,10 @@ class _Block:
         vectors = rows["embedding"].combine_chunks()
         self.width = pc.max(pc.list_value_length(vectors)).as_py() or 0
         self.vectors = _matrix(vectors, self.width).T
-        self.skills, self.skill_share = _term_matrix(rows["skills"].to_pylist(), True)
-        self.roles, self.role_of = _term_matrix(rows["roles"].to_pylist(), False)
-        self.places, self.place_of = _term_matrix(rows["places"].to_pylist(), False)
+        self.skills, self.skill_count = _term_matrix(rows["skills"].combine_chunks())
+        self.n_skills = np.maximum(self.skill_count.sum(0), 1)
+        self.roles, self.role_of = _term_matrix(rows["roles"].combine_chunks())
+        self.places, self.place_of = _term_matrix(rows["places"].combine_chunks())
         self.has_place = np.array(rows["has_place"].to_pylist(), dtype=bool)
         self.floor = np.full(len(self.ids), np.iinfo(np.int64).min)
         self.seen = 0
@@ -184,13 +181,11 @@ class _Block:
             self._score(jobs.slice(start, step))
 
     def _score(self, jobs: pa.RecordBatch) -> None:
-        titles, places = _strings(jobs["title"]), _strings(jobs["location"])
-        semantic = _matrix(jobs["embedding"], self.width) @ self.vectors
-        skill = _hits(_strings(jobs["description"]), self.skills) @ self.skill_share
-        role = _hits(titles, self.roles) @ self.role_of > 0
-        remote = np.array(["remote" in p for p in places])
-        place = _hits(places, self.places) @ self.place_of > 0
-        place |= remote[:, None] & self.has_place[None, :]
+        semantic = _matrix(jobs["embedding"], self.width) @ self.vectors if self.width else np.zeros((jobs.num_rows, len(self.ids)))
+        skill = _hits(jobs["skills"], self.skills) @ self.skill_count / self.n_skills
+        role = _hits(jobs["roles"], self.roles) @ self.role_of > 0
+        place = _hits(jobs["places"], self.places) @ self.place_of > 0
+        place |= jobs["remote"].to_numpy(zero_copy_only=False).astype(bool)[:, None] & self.has_place[None, :]
         total = (
             K.W_SEMANTIC * semantic + K.W_SKILL * skill + K.W_ROLE * role + K.W_LOCATION * place
         )
@@ -275,23 +270,89 @@ def _block_task(top_n: int):
     return run
 
 
-def blocks_for(candidates: DataFrame, per_block: int = 4096) -> int:
-    """Candidate blocks needed to keep each within ``per_block`` rows on average."""
-    return max(1, math.ceil(candidates.count() / per_block))
+def blocks_for(rows: DataFrame, per_block: int = 4096) -> int:
+    """Blocks needed to keep each within ``per_block`` rows on average."""
+    return max(1, math.ceil(rows.count() / per_block))
+
+
+def one_width(profiles: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their vectors checked, while they are read, against the index's one length."""
+    width = index.agg(F.max(F.size("embedding"))).scalar()
+
+    def checked(df: DataFrame, key: str) -> DataFrame:
+        n = F.size("embedding")
+        bad = F.raise_error(F.concat(F.lit(f"the vector of {key} "), F.col(key).cast("string"), F.lit(" has another length: "), n.cast("string")))
+        vector = F.when(F.col("embedding").isNull(), None).when((width < 0) | (n == width), F.col("embedding")).otherwise(bad.cast("array<float>"))
+        return df.withColumn("embedding", vector.cast("array<float>"))
+
+    return checked(profiles, "candidate_id"), checked(index, "job_id")
+
+
+def _hashes(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
+
+
+def named_terms(index: DataFrame, candidates: DataFrame, per_chunk: int = TERMS_PER_CHUNK) -> DataFrame:
+    """job_id with ``skills``, ``roles``, ``places``: hashes of the candidates' distinct terms that the job names.
+
+    ``candidates`` has arrays of lower-case terms under the same names. Terms are
+    searched ``per_chunk`` at a time; more terms take more passes over the jobs,
+    whose results are put together per job.
+    """
+    fields = {"skills": "description_clean", "roles": "title", "places": "location"}
+    terms = None
+    for kind in fields:
+        part = candidates.select(F.lit(kind).alias("kind"), F.explode(kind).alias("term")).distinct()
+        terms = part if terms is None else terms.unionAll(part)
+    chunks = blocks_for(terms, per_chunk)
+    out = None
+    for k in range(chunks):
+        mine = terms if chunks == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(chunks)) == k)
+
+        wanted = {
+            kind: mine.where(F.col("kind") == kind).agg(F.sort_array(F.collect_set("term"))).scalar() for kind in fields
+        }
+        beside = index.select("job_id", *fields.values(), *[w.alias(kind) for kind, w in wanted.items()])
+
+        def found(kind: str, field: str) -> Column:
+            return text.bind(
+                F.lower(F.coalesce(field, F.lit(""))),
+                lambda body: _hashes(F.filter(kind, lambda t: F.contains(body, t))),
+            )
+
+        part = beside.select("job_id", *[found(kind, field).alias(kind) for kind, field in fields.items()])
+        out = part if out is None else out.unionAll(part)
+    if chunks > 1:
+        out = out.groupBy("job_id").agg(*[F.flatten(F.collect_list(kind)).alias(kind) for kind in fields])
+    return out
 
 
 def score_pairs(
-    profiles: DataFrame, index: DataFrame, top_n: int,
-    candidate_blocks: int | None = None, job_blocks: int | None = None,
+    profiles: DataFrame, index: DataFrame, top_n: int, candidate_blocks: int | None = None,
+    job_blocks: int | None = None, per_chunk: int = TERMS_PER_CHUNK,
 ) -> DataFrame:
     """Best ``top_n`` jobs of every candidate within each (candidate block, job block)."""
+    rows = block_rows(profiles, index, candidate_blocks, job_blocks, per_chunk)
+    return rows.mapInArrow(_block_task(top_n), SCORES)
+
+
+def block_rows(
+    profiles: DataFrame, index: DataFrame, candidate_blocks: int | None = None, job_blocks: int | None = None,
+    per_chunk: int = TERMS_PER_CHUNK,
+) -> DataFrame:
+    """Slim rows of both tables, one copy for each block they meet in, sorted by block.
+
+    Blocks are measured where they are not given: rows of either table, and for
+    few candidates enough job blocks to keep all tasks busy.
+    """
     spark = profiles.sparkSession
     if candidate_blocks is None:
         candidate_blocks = blocks_for(profiles)
     if job_blocks is None:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        job_blocks = max(1, math.ceil(tasks / candidate_blocks))
+        job_blocks = max(math.ceil(tasks / candidate_blocks), blocks_for(index, JOBS_PER_BLOCK))
     roles = wanted_roles(F.col("target_roles"), F.col("best_fit_roles"))
+    profiles, index = one_width(profiles, index)
 
     def block_of(name: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
@@ -299,28 +360,32 @@ def score_pairs(
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    candidates = profiles.select(
-        "candidate_id", F.col("embedding").cast("array<float>").alias("embedding"),
-        F.transform("technical_skills", F.lower).alias("skills"),
-        role_terms(roles).alias("roles"),
-        location_terms(F.col("preferred_locations")).alias("places"),
-        (F.size("preferred_locations") > 0).alias("has_place"),
+    asked = profiles.select(
+        "candidate_id", "embedding",
+        F.coalesce(F.transform("technical_skills", F.lower), F.array().cast("array<string>")).alias("skills"),
+        F.coalesce(role_terms(roles), F.array().cast("array<string>")).alias("roles"),
+        F.coalesce(location_terms(F.col("preferred_locations")), F.array().cast("array<string>")).alias("places"),
+        F.coalesce(F.size("preferred_locations") > 0, F.lit(False)).alias("has_place"),
+    )
+    named = named_terms(index, asked, per_chunk)
+    candidates = asked.select(
+        "candidate_id", "embedding", *[_hashes(F.col(c)).alias(c) for c in ("skills", "roles", "places")], "has_place",
         block_of("candidate_id", candidate_blocks).alias("cb"), every(job_blocks).alias("jb"),
     ).withColumn("is_job", F.lit(False))
     jobs = index.select(
-        "job_id", "embedding", F.lower("title").alias("title"),
-        F.lower("location").alias("location"), F.lower("description_clean").alias("description"),
+        "job_id", "embedding", F.contains(F.lower(F.coalesce("location", F.lit(""))), F.lit("remote")).alias("remote"),
+    ).join(named, "job_id").select(
+        "job_id", "embedding", "remote", "skills", "roles", "places",
         block_of("job_id", job_blocks).alias("jb"), every(candidate_blocks).alias("cb"),
     ).withColumn("is_job", F.lit(True))
     block = (F.col("cb") * F.lit(job_blocks) + F.col("jb")).cast("int")
-    rows = (
+    return (
         candidates.unionByName(jobs, allowMissingColumns=True)
         .withColumn("block", block)
         .drop("cb", "jb")
         .repartitionById(candidate_blocks * job_blocks, F.col("block"))
         .sortWithinPartitions("block", "is_job", "job_id")
     )
-    return rows.mapInArrow(_block_task(top_n), SCORES)
 
 
 def top_matches(scores: DataFrame, top_n: int) -> DataFrame:

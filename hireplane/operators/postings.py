@@ -162,52 +162,66 @@ def track_jobs(bronze: DataFrame) -> DataFrame:
     )
 
 
-def _last_value(name: str) -> Column:
-    """Last non-null value by scrape time; equal times fall back to the larger value."""
-    value = F.col(name)
-    return F.max(F.when(value.isNotNull(), F.struct("scraped_at", value.alias("v"))))["v"].alias(name)
+_KEY, _ROWS = "_order", "_winners"
 
 
-def latest_values(bronze: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per job the last non-null value of each column.
+def order_key(columns: list[str]) -> Column:
+    """One number that orders all rows of a job: scrape time, then a digest of provider, company and the other columns.
 
-    ``max`` of a (time, value) struct combines before the shuffle, so a job
-    seen in very many snapshots costs one row per map task.
+    Postings of one run have the same time and may share an id across providers,
+    so equal times are the rule; one order for all columns keeps a row whole.
+    ``raw_json`` is left out: it is the source of the other columns.
     """
+    told = ["source_ats", "company_slug"]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*told, *sorted(set(columns) - {*told, "job_id", "scraped_at", "raw_json"})] if c in columns]
+    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("decimal(19,0)")
+    micros = F.coalesce(F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(-(10**17)))
+    return (micros.cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + digest).cast("decimal(38,0)")
+
+
+def _winners(bronze: DataFrame, conditions: dict[str, Column], columns: list[str], *more: Column) -> DataFrame:
+    """Per job: the greatest order key among the rows that meet each condition, ``more``, and the rows of these keys.
+
+    The keys are fixed-width numbers, so their maxima are hash aggregates that
+    combine before the shuffle. Wide columns come in afterwards, by one join,
+    and only for the rows that won.
+    """
+    keyed = bronze.filter(F.col("job_id").isNotNull()).withColumn(_KEY, order_key(bronze.columns))
+    tops = keyed.groupBy("job_id").agg(*[F.max(F.when(c, F.col(_KEY))).alias(f"_k_{name}") for name, c in conditions.items()], *more)
+    keys = tops.select("job_id", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_k_{n}" for n in conditions])))).alias(_KEY))
+    rows = keyed.select("job_id", _KEY, *columns).join(keys, ["job_id", _KEY])
+    gathered = rows.groupBy("job_id").agg(F.collect_list(F.struct(_KEY, *columns)).alias(_ROWS))
+    return tops.join(gathered, "job_id", "left")
+
+
+def _won(name: str, column: str) -> Column:
+    return F.get(F.filter(_ROWS, lambda r: r[_KEY] == F.col(f"_k_{name}")), F.lit(0))[column].alias(column)
+
+
+def latest_values(bronze: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per job the last non-null value of each column, by one order of rows for all columns."""
     names = columns or [c for c in bronze.columns if c != "job_id"]
-    return (
-        bronze.filter(F.col("job_id").isNotNull())
-        .groupBy("job_id")
-        .agg(*[_last_value(c) for c in names])
-    )
+    found = _winners(bronze, {c: F.col(c).isNotNull() for c in names}, names)
+    return found.select("job_id", *[_won(c, c) for c in names])
 
 
 def latest_rows(bronze: DataFrame) -> DataFrame:
-    """Per job the whole most recent row, NULLs kept."""
-    columns = bronze.columns
-    others = [c for c in columns if c not in ("job_id", "scraped_at")]
-    return (
-        bronze.filter(F.col("job_id").isNotNull())
-        .groupBy("job_id")
-        .agg(F.max(F.struct("scraped_at", *others)).alias("r"))
-        .select("job_id", "r.*")
-        .select(*columns)
-    )
+    """Per job the whole most recent row, NULLs kept; of equal times the one latest_values prefers."""
+    others = [c for c in bronze.columns if c != "job_id"]
+    found = _winners(bronze, {"row": F.lit(True)}, others)
+    return found.select("job_id", *[_won("row", c) for c in others]).select(*bronze.columns)
 
 
 def silver_jobs(bronze: DataFrame, as_of: datetime | str, active_days: int = K.ACTIVE_DAYS) -> DataFrame:
-    """Latest values and tracking of every job from one shuffle of all snapshots."""
+    """Latest values and tracking of every job."""
     kept = [c for c in bronze.columns if c not in ("job_id", "scraped_at", "raw_json")]
     cutoff = dates.as_of_column(as_of) - F.expr(f"INTERVAL {int(active_days)} DAYS")
+    found = _winners(
+        bronze, {c: F.col(c).isNotNull() for c in kept}, kept,
+        F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"), F.count("scraped_at").alias("times_seen"),
+    )
     return (
-        bronze.filter(F.col("job_id").isNotNull())
-        .groupBy("job_id")
-        .agg(
-            *[_last_value(c) for c in kept],
-            F.min("scraped_at").alias("first_seen"),
-            F.max("scraped_at").alias("last_seen"),
-            F.count("scraped_at").alias("times_seen"),
-        )
+        found.select("job_id", *[_won(c, c) for c in kept], "first_seen", "last_seen", "times_seen")
         .withColumn("scraped_at", F.col("last_seen"))
         .withColumn("is_active", F.coalesce(F.col("last_seen") >= cutoff, F.lit(False)))
     )

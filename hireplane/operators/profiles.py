@@ -78,8 +78,8 @@ def field_of_study(body: Column) -> Column:
 
 
 def university(body: Column) -> Column:
-    line = F.regexp_extract(body, f"(?imU)^.*{K.UNIVERSITY}.*$", 0)
-    return text.blank_to_null(F.substring(text.strip(line), 1, K.UNIVERSITY_CHARS))
+    lines = F.filter(F.split(body, LINE_BREAK), lambda line: line.rlike(f"(?iU){K.UNIVERSITY}"))
+    return text.blank_to_null(F.substring(text.strip(F.get(lines, F.lit(0))), 1, K.UNIVERSITY_CHARS))
 
 
 def years_of_experience(body: Column, present_year: int = K.PRESENT_YEAR) -> Column:
@@ -213,12 +213,23 @@ def sanitise_extracted(raw: DataFrame) -> DataFrame:
     def scalar(field: str) -> Column:
         return F.try_variant_get(v, f"$.{field}", "string")
 
-    def truthy(value: Column) -> Column:
-        return value.isNotNull() & ~value.isin("", "0", "false")
+    def truthy(item: Column) -> Column:
+        """Not null, and no empty text, zero, false, empty list or empty object; the texts "0" and "false" count."""
+        kind, shown = F.schema_of_variant(item), F.try_variant_get(item, "$", "string")
+        return item.isNotNull() & (kind != "VOID") & F.when(kind == "STRING", shown != "").when(
+            kind == "BOOLEAN", shown == "true"
+        ).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), F.try_variant_get(item, "$", "double") != 0).otherwise(
+            ~F.to_json(item).isin("[]", "{}")
+        )
+
+    def shown(item: Column) -> Column:
+        """As text; a boolean is capitalised."""
+        plain = F.try_variant_get(item, "$", "string")
+        return F.when(F.schema_of_variant(item) == "BOOLEAN", F.initcap(plain)).otherwise(F.coalesce(plain, F.to_json(item)))
 
     def listed(field: str) -> Column:
-        items = F.try_variant_get(v, f"$.{field}", "array<string>")
-        return F.coalesce(F.filter(items, truthy), F.array().cast("array<string>"))
+        items = F.try_variant_get(v, f"$.{field}", "array<variant>")
+        return F.coalesce(F.transform(F.filter(items, truthy), shown), F.array().cast("array<string>"))
 
     columns = []
     for field in FIELD_NAMES:
@@ -229,7 +240,8 @@ def sanitise_extracted(raw: DataFrame) -> DataFrame:
         elif field == "seniority_level":
             column = F.when(scalar(field).isin(K.SENIORITY_LEVELS), scalar(field))
         else:
-            column = F.when(truthy(scalar(field)), text.strip(scalar(field)))
+            item = F.try_variant_get(v, f"$.{field}", "variant")
+            column = F.when(truthy(item), text.strip(shown(item)))
             if field == "profile_summary":
                 column = F.coalesce(column, F.lit(""))
         columns.append(column.alias(field))

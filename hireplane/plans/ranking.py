@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireplane.operators import matching, profiles as prof, resolve, scoring
+from hireplane.session import stored
 
 HANDOFF, TOP_N = 150, 30
 
@@ -25,12 +26,20 @@ def enrich_index(index: DataFrame, history: DataFrame, negation_guard: bool = Fa
 
 def score_given_matches(
     matches: DataFrame, profiles: DataFrame, history: DataFrame, as_of: datetime | str,
-    audit: bool = False,
+    audit: bool = False, jobs: DataFrame | None = None,
 ) -> DataFrame:
-    """Score matches that carry no signal or evidence yet."""
+    """Score matches that carry no signal or evidence yet.
+
+    With ``jobs`` (job_id, description_clean) each text is read once per job;
+    without it once per match.
+    """
     evidence = resolve.company_evidence(matches.select("company_slug"), history)
-    rows = scoring.with_evidence(scoring.with_signals(matches), evidence)
-    return scoring.score_matches(rows, profiles, as_of, audit)
+    if jobs is None:
+        rows = scoring.with_signals(matches)
+    else:
+        wanted = jobs.join(matches.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "description_clean")
+        rows = matches.join(scoring.with_signals(wanted, "description_clean").drop("description_clean"), "job_id")
+    return scoring.score_matches(scoring.with_evidence(rows, evidence), profiles, as_of, audit)
 
 
 def rank_profiles(
@@ -43,11 +52,15 @@ def rank_profiles(
     and explanations are added to the rows that remain.
     """
     pairs = matching.score_pairs(profiles, index, candidate_top_n, candidate_blocks)
+    need = profiles.select("candidate_id", F.coalesce("requires_sponsorship", F.lit(False)).alias("requires_sponsorship"))
+    handed = matching.top_matches(pairs, candidate_top_n).join(need, "candidate_id")
     facts = enrich_index(index, history).select(
         "job_id", "posted_at", "signal", "signal_delta", "base_score", "perm_total", "trend"
     )
-    need = profiles.select("candidate_id", "requires_sponsorship")
-    rows = matching.top_matches(pairs, candidate_top_n).join(facts, "job_id").join(need, "candidate_id")
+    # Who needs no sponsorship skips the sponsorship joins.
+    asking = handed.where("requires_sponsorship").join(facts, "job_id")
+    skipping = handed.where("NOT requires_sponsorship").join(index.select("job_id", "posted_at"), "job_id")
+    rows = asking.unionByName(skipping, allowMissingColumns=True)
     best = scoring.top_ranked(scoring.add_scores(rows, as_of), top_n)
 
     jobs = index.select(
@@ -81,7 +94,6 @@ def rank_resumes(
     history: DataFrame, as_of: datetime | str, top_n: int = TOP_N, candidate_top_n: int = HANDOFF,
 ) -> DataFrame:
     """From résumé texts to ranked jobs."""
-    profiles = profiles_from_resumes(resumes, inputs, vectors)
-    # Counted on the stored texts, so that no profile is extracted just to be counted.
-    blocks = matching.blocks_for(resumes.select("candidate_id"))
-    return rank_profiles(profiles, index, history, as_of, top_n, candidate_top_n, blocks)
+    # Matching reads the profiles for blocks, terms and scores; extraction runs once.
+    profiles = stored(profiles_from_resumes(resumes, inputs, vectors), "profiles")
+    return rank_profiles(profiles, index, history, as_of, top_n, candidate_top_n)

@@ -66,40 +66,48 @@ def test_equals_every_pair(tables, blocks, top_n):
 
 def test_small_batches_and_compaction(tables, monkeypatch):
     people, jobs, c, x = tables
+    monkeypatch.setattr(matching._Block, "BATCH_CELLS", 20)
+    got = {}
+    task = matching._block_task(5)
+    for batch in matching.block_rows(c, x, 2, 1).toArrow().to_batches(max_chunksize=7):
+        got.setdefault("rows", []).append(batch)
+    rows = [r for out in task(iter(got["rows"])) for r in out.to_pylist()]
     want = every_pair(people, jobs, 5)
-    batch = matching._Block
-    import pyarrow as pa
-
-    monkeypatch.setattr(batch, "BATCH_CELLS", 20)
-    cand = pa.table({
-        "candidate_id": [p[0] for p in people], "skills": [[s.lower() for s in p[1]] for p in people],
-        "roles": [[] for _ in people], "places": [[] for _ in people], "has_place": [bool(p[4]) for p in people],
-        "embedding": pa.array([p[5] for p in people], pa.list_(pa.float32())),
-    })
-    block = batch(cand, 5)
-    ordered = sorted(jobs)
-    block.add(pa.record_batch({
-        "job_id": [j[0] for j in ordered], "title": [None] * len(jobs), "location": [None] * len(jobs),
-        "description": [j[7].lower() for j in ordered],
-        "embedding": pa.array([j[8] for j in ordered], pa.list_(pa.float32())),
-    }))
-    rows = next(block.result()).to_pylist()
-    assert len(rows) == 5 * len(people) and len(block.jobs) <= len(rows)
     for p in people:
         mine = sorted(((r["match_score"], r["job_id"]) for r in rows if r["candidate_id"] == p[0]), key=lambda r: (-r[0], r[1]))
-        plain = sorted(
-            ((round(0.5 * (sum(a * b for a, b in zip(p[5], j[8])) if p[5] and j[8] else 0.0)
-                    + 0.3 * (len([s for s in p[1] if s.lower() in j[7].lower()]) / len(p[1]) if p[1] else 0.0), 4), j[0])
-             for j in jobs), key=lambda r: (-r[0], r[1]))[:5]
-        assert mine == plain
-    assert want
-
-
-def test_many_terms_use_one_pass():
-    terms = [f"term{i}" for i in range(400)] + [""]
-    texts = ["term7 and term399", "nothing", "term10"]
-    got = matching._hits(texts, terms)
-    assert [[t in body for t in terms] for body in texts] == (got > 0).tolist()
+        assert mine == [(s, j) for s, j, _ in want[p[0]]]
+
+
+@pytest.mark.parametrize("blocks", [(1, 1), (6, 1), (2, 7)])
+def test_vectors_of_another_length_are_an_error(tables, spark, blocks):
+    people, jobs, c, x = tables
+    odd = spark.createDataFrame([(*p[:5], [0.5] * 3 if p[0] == 2 else p[5]) for p in people], PROFILES)
+    with pytest.raises(Exception, match="the vector of candidate_id 2 has another length: 3"):
+        matching.match_candidates(odd, x, 3, *blocks).collect()
+    odd_jobs = spark.createDataFrame([(*j[:8], [0.5] * 3 if j[0] == "j3" else j[8]) for j in jobs], JOBS)
+    with pytest.raises(Exception, match="the vector of job_id j3 has another length: 3"):
+        matching.match_candidates(c, odd_jobs, 3, *blocks).collect()
+
+
+@pytest.mark.parametrize(("blocks", "per_chunk"), [((1, 1), 5000), ((6, 1), 100), ((2, 7), 37)])
+def test_many_terms_in_any_blocks_and_chunks(tables, spark, blocks, per_chunk):
+    people, jobs, _, x = tables
+    many = [(p[0], [f"term{(p[0] * 31 + k) % 350}" for k in range(60)] + ["python", "SQL", "SQL"], *p[2:]) for p in people]
+    texts = [(*j[:7], j[7] + f" term{i * 4} and term{i * 7 % 350}", j[8]) for i, j in enumerate(jobs)]
+    want = every_pair(many, texts, 6)
+    table, index = spark.createDataFrame(many, PROFILES), spark.createDataFrame(texts, JOBS)
+    got = {}
+    scores = matching.score_pairs(table, index, 6, *blocks, per_chunk=per_chunk)
+    for r in matching.top_matches(scores, 6).orderBy("candidate_id", "match_rank").collect():
+        got.setdefault(r.candidate_id, []).append((r.match_score, r.job_id))
+    assert got == {c: [(s, j) for s, j, _ in rows] for c, rows in want.items()}
+
+
+def test_texts_do_not_go_to_the_blocks(tables):
+    _, _, c, x = tables
+    assert set(matching.block_rows(c, x, 2, 2).columns) == {
+        "candidate_id", "job_id", "embedding", "skills", "roles", "places", "has_place", "remote", "is_job", "block",
+    }
 
 
 def test_plan_has_no_pair_join(tables):
