@@ -311,11 +311,19 @@ def _(i):
     }).drop("embedding")
 
 
-@register("s11_index_sink", (["index_table"], f"SELECT {_INDEX} FROM index_table"))
+@register("s11_index_sink", (["index_table"], f"""
+    SELECT {_INDEX}, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x, k: CAST(x AS DOUBLE) * k)), 4) AS weighted
+    FROM index_table"""))
 def _(i):
     path = scratch_path(i.spark, "index")
     writers.write_index(job_index(i), path)
-    return readers.read_table(i.spark, path, _INDEX.split(", "))
+    stored_index = readers.read_table(i.spark, path, [*_INDEX.split(", "), "embedding"])
+    weighted = F.aggregate(
+        F.transform("embedding", lambda x, k: x.cast("double") * (k + 1)), F.lit(0.0), lambda acc, x: acc + x
+    )
+    return stored_index.withColumns({
+        "n": F.when(F.col("embedding").isNotNull(), F.size("embedding")), "weighted": F.round(weighted, 4),
+    }).drop("embedding")
 
 
 # --- matching ------------------------------------------------------------------------
@@ -393,10 +401,32 @@ def _(i):
     )
 
 
-@register("m2_semantic_score", (["top20"], "SELECT candidate_id, job_id, semantic_score FROM top20"))
+# Each candidate with the few jobs whose number has the same remainder, whatever they score.
+_FEW = 500
+DERIVED["few"] = (["pairs"], f"""
+    SELECT *, {q.round4('semantic')} AS semantic_score, {q.round4('skill')} AS skill_overlap_score,
+      {q.round4("0.50::DOUBLE * semantic + 0.30::DOUBLE * skill + 0.10::DOUBLE * role_match::INT + 0.10::DOUBLE * location_match::INT")} AS match_score
+    FROM pairs WHERE candidate_id % {_FEW} = CAST(substr(job_id, 2) AS BIGINT) % {_FEW}""")
+
+
+def few_pairs(i: Inputs) -> DataFrame:
+    """Candidate and job columns side by side, scored by the column functions of the matching module."""
+    people = candidate_table(i).withColumn("_key", F.col("candidate_id") % _FEW).withColumnRenamed("embedding", "c")
+    jobs = index_table(i).withColumn("_key", F.substring("job_id", 2, 100).cast("bigint") % _FEW).withColumnRenamed("embedding", "j")
+    rows = people.join(jobs, "_key").withColumn(
+        "matched_skills", matching.matched_skills(F.col("technical_skills"), F.col("description_clean"))
+    )
+    return rows.withColumns({
+        "semantic": F.coalesce(matching.cosine(F.col("c"), F.col("j")), F.lit(0.0)),
+        "skill": matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills")),
+        "role_match": matching.role_match(F.col("title"), matching.wanted_roles(F.col("target_roles"), F.col("best_fit_roles"))),
+        "location_match": matching.location_match(F.col("location"), F.col("preferred_locations")),
+    })
+
+
+@register("m2_semantic_score", (["few"], "SELECT candidate_id, job_id, semantic_score FROM few"))
 def _(i):
-    scores = matching.score_pairs(candidate_table(i), index_table(i), 20)
-    return matching.top_matches(scores, 20).select("candidate_id", "job_id", "semantic_score")
+    return few_pairs(i).select("candidate_id", "job_id", round4(F.col("semantic")).alias("semantic_score"))
 
 
 DERIVED["matched20"] = (["top20", "index_table"], """
@@ -410,54 +440,26 @@ def top20(i: Inputs) -> DataFrame:
     )
 
 
-@register("m3_skill_overlap", (["top20"], f"""
-    SELECT candidate_id, job_id, {q.joined('matched_skills')} AS matched_skills, skill_overlap_score FROM top20"""))
+@register("m3_skill_overlap", (["few"], f"""
+    SELECT candidate_id, job_id, {q.joined('matched_skills')} AS matched_skills, skill_overlap_score FROM few"""))
 def _(i):
-    rows = top20(i).drop("matched_skills").join(
-        candidate_table(i).select("candidate_id", "technical_skills"), "candidate_id"
-    )
-    matched = matching.matched_skills(F.col("technical_skills"), F.col("description_text"))
-    return rows.withColumn("matched_skills", matched).select(
-        "candidate_id", "job_id", "matched_skills",
-        round4(matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills"))).alias("skill_overlap_score"),
-    )
+    return few_pairs(i).select("candidate_id", "job_id", "matched_skills", round4(F.col("skill")).alias("skill_overlap_score"))
 
 
-@register("m4_role_match", (["top20"], "SELECT candidate_id, job_id, role_match FROM top20"))
+@register("m4_role_match", (["few"], "SELECT candidate_id, job_id, role_match FROM few"))
 def _(i):
-    rows = top20(i).drop("role_match").join(
-        candidate_table(i).select("candidate_id", "target_roles"), "candidate_id"
-    )
-    return rows.select(
-        "candidate_id", "job_id",
-        matching.role_match(F.col("title"), F.col("target_roles")).alias("role_match"),
-    )
+    return few_pairs(i).select("candidate_id", "job_id", "role_match")
 
 
-@register("m5_location_match", (["top20"], "SELECT candidate_id, job_id, location_match FROM top20"))
+@register("m5_location_match", (["few"], "SELECT candidate_id, job_id, location_match FROM few"))
 def _(i):
-    rows = top20(i).drop("location_match").join(
-        candidate_table(i).select("candidate_id", "preferred_locations"), "candidate_id"
-    )
-    return rows.select(
-        "candidate_id", "job_id",
-        matching.location_match(F.col("location"), F.col("preferred_locations")).alias("location_match"),
-    )
+    return few_pairs(i).select("candidate_id", "job_id", "location_match")
 
 
-@register("m6_match_score", (["top20"], """
-    SELECT candidate_id, job_id, match_score FROM top20"""))
+@register("m6_match_score", (["few"], "SELECT candidate_id, job_id, match_score FROM few"))
 def _(i):
-    vectors = candidate_table(i).select("candidate_id", F.col("embedding").alias("c"))
-    jobs = index_table(i).select("job_id", F.col("embedding").alias("j"))
-    rows = top20(i).join(vectors, "candidate_id").join(jobs, "job_id").join(
-        candidate_table(i).select("candidate_id", "technical_skills"), "candidate_id"
-    )
-    return rows.select("candidate_id", "job_id", matching.match_score(
-        F.coalesce(matching.cosine(F.col("c"), F.col("j")), F.lit(0.0)),
-        matching.skill_overlap(F.col("technical_skills"), F.col("matched_skills")),
-        F.col("role_match"), F.col("location_match"),
-    ).alias("match_score"))
+    score = matching.match_score(F.col("semantic"), F.col("skill"), F.col("role_match"), F.col("location_match"))
+    return few_pairs(i).select("candidate_id", "job_id", score.alias("match_score"))
 
 
 @register("m8_match_candidates", (["matched20"], f"""

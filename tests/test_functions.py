@@ -145,3 +145,13 @@ def test_rounding_is_exact(spark, values):
     assert (numbers.scaled4(np.array(values)) / 10_000).tolist() == want
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     assert [r.r for r in df.select("i", numbers.round4(F.col("v")).alias("r")).orderBy("i").collect()] == want
+
+
+def test_text_of_odd_markup(spark):
+    cases = {
+        '<a title="x>y">z</a>': "z", '<?xml version="1.0"?>t': "t", "a<script>var x": "a", "<p title=\'a>b\'>k": "k",
+        "<p " + 'x="1" ' * 2000 + ">ok": "ok", "a < b > c": "a < b > c",
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    got = {r.h: r.t for r in text.add_html_text(df, "h", "t").collect()}
+    assert got == cases

@@ -4,9 +4,10 @@ import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hireplane import schemas as S
-from hireplane.operators import filings, postings, profiles
+from hireplane.operators import filings, postings, profiles, serving
 from hireplane.sources import readers, writers
 from hireplane.streaming import tracking
 
@@ -110,3 +111,109 @@ def test_stream_equals_batch(spark, tmp_path):
     got = tracking.latest_tracking(spark.read.parquet(str(tmp_path / "out")).drop("batch"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, postings.track_jobs(rows).collect()))
     assert got.filter(F.col("times_seen") > 1).count() == 1
+
+
+def one_run(spark):
+    """Two postings of one run under one id, and a later run that leaves some fields out."""
+    d = lambda n: datetime(2024, 1, n)
+    return bronze(spark, [
+        dict(job_id="j1", scraped_at=d(5), company_slug="a", source_ats="lever", title="Data Engineer", description_html="<p>a", location="A"),
+        dict(job_id="j1", scraped_at=d(5), company_slug="b", source_ats="ashby", title="Chef", description_html="<p>b", location="B"),
+        dict(job_id="j2", scraped_at=d(5), company_slug="c", source_ats="lever", title="One", description_html="<p>c"),
+        dict(job_id="j2", scraped_at=d(6), company_slug="c", source_ats="lever", title=None, description_html=None),
+        dict(job_id="j2", scraped_at=d(6), company_slug="c", source_ats="lever", title=None, description_html=None),
+    ])
+
+
+def test_equal_times_never_mix_rows(spark):
+    rows = one_run(spark)
+    want = {("a", "lever", "Data Engineer", "<p>a", "A"), ("b", "ashby", "Chef", "<p>b", "B")}
+    names = ["company_slug", "source_ats", "title", "description_html", "location"]
+    for got in (postings.latest_values(rows), postings.latest_rows(rows), postings.silver_jobs(rows, "2024-01-31 00:00:00")):
+        assert tuple(got.filter("job_id = 'j1'").select(*names).first()) in want
+        assert got.count() == 2
+    kept = {tuple(g.filter("job_id = 'j1'").select(*names).first()) for g in (postings.latest_values(rows), postings.latest_rows(rows.repartition(5)))}
+    assert len(kept) == 1
+    assert tuple(postings.latest_values(rows).filter("job_id = 'j2'").select("title", "description_html").first()) == ("One", "<p>c")
+    assert tuple(postings.latest_rows(rows).filter("job_id = 'j2'").select("title", "description_html").first()) == (None, None)
+
+
+def test_latest_values_do_not_sort_wide_rows(spark):
+    for got in (postings.latest_values(one_run(spark)), postings.silver_jobs(one_run(spark), "2024-01-31 00:00:00")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_sheets_are_read_back_whole(spark, tmp_path):
+    nasty = 'He said "no", then\nleft; 100% \\ done,'
+    rows = bronze(spark, [dict(job_id="j1", scraped_at=datetime(2024, 1, 5), title=nasty, description_text=nasty)])
+    path = str(tmp_path / "b")
+    writers.write_bronze(rows, path)
+    reduced = T.StructType([f for f in T.StructType.fromDDL(S.JOBS_BRONZE).fields if f.name not in ("raw_json", "description_html")])
+    got = readers.read_csv_table(spark, path + "/csv", reduced).first()
+    assert (got.title, got.description_text, got.job_id) == (nasty, nasty, "j1")
+    writers.write_silver(postings.silver_jobs(rows, "2024-01-31 00:00:00"), path + "/silver")
+    silver = spark.read.parquet(path + "/silver/parquet")
+    sheet = readers.read_csv_table(spark, path + "/silver/csv", T.StructType([f for f in silver.schema if f.name != "description_html"]))
+    assert sheet.first().title == nasty and sheet.first().times_seen == 1
+
+
+def test_manifest_is_safe_to_repeat(spark, tmp_path):
+    path = str(tmp_path / "m")
+    writers.append_manifest(snapshots(spark), path)
+    writers.append_manifest(snapshots(spark).filter("job_id = 'j2'"), path)
+    got = {r.run_date: r.total_jobs for r in spark.read.schema(S.RUN_MANIFEST).json(path + "/manifest").collect()}
+    assert got == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 1, "2024-01-20": 1}
+
+
+def test_company_lists(spark, tmp_path):
+    rows = [dict(slug="a", display_name="A", ats="lever"), dict(slug="b", display_name="B", ats=None)]
+    (tmp_path / "c.json").write_text(json.dumps(rows, indent=1))
+    assert [r.slug for r in readers.read_companies(spark, str(tmp_path / "c.json"), array_file=True).collect()] == ["a", "b"]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    assert readers.read_companies(spark, str(tmp_path / "lines.json")).count() == 2
+
+
+def test_pages_by_key_equal_pages_by_number(spark):
+    rows = bronze(spark, [dict(job_id=f"j{i:02d}", scraped_at=datetime(2024, 1, 30)) for i in range(23)])
+    silver, last = postings.silver_jobs(rows, "2024-01-31 00:00:00"), None
+    for page in range(1, 5):
+        by_key = serving.browse_jobs(silver, per_page=7, last_id=last).collect()
+        assert by_key == serving.browse_jobs(silver, page, 7).collect()
+        last = by_key[-1].job_id if by_key else last
+
+
+def test_user_sort_keeps_the_rank_inside_ties(spark):
+    rows = spark.createDataFrame([(1, "b", 1.0, 1), (1, "a", 1.0, 2), (1, "c", 2.0, 3)], "candidate_id int, job_id string, recency_score double, rank int")
+    got = serving.sort_results(rows, "recency_score").collect()
+    assert [(r.job_id, r.position) for r in got] == [("c", 1), ("b", 2), ("a", 3)]
+
+
+def test_scratch_folder(spark, monkeypatch):
+    from hireplane import session
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    path = session.scratch_path(spark, "x")
+    assert spark.conf.get("spark.checkpoint.dir", None) == before and "/x-" in path
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    import pytest
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Cluster, "x")
+
+
+def test_extracted_scalars(spark):
+    raw = '{"name": "0", "email": 0, "university": true, "technical_skills": ["0", 0, false, true, "", null, 7, "false"]}'
+    got = profiles.sanitise_extracted(spark.createDataFrame([(1, raw)], "candidate_id bigint, extracted string")).first()
+    assert (got.name, got.email, got.university) == ("0", None, "True")
+    assert got.technical_skills == ["0", "True", "7", "false"]
+
+
+def test_university_line_ends(spark):
+    df = spark.createDataFrame([("Jane Doe\fMIT College\x1cx",), ("a\x0bState University \r\nz",), ("none",)], "b string")
+    got = [r[0] for r in df.select(profiles.university(F.col("b"))).collect()]
+    assert got == ["MIT College", "State University", None]
