@@ -33,7 +33,12 @@ class Spark:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in self._views:
             view = f"in_{name}_{zlib.crc32(self.sf_dir.encode())}"
-            self.spark.read.parquet(path).createOrReplaceTempView(view)
+            table = self.spark.read.parquet(path)
+            # Fewer splits than cores would leave cores idle in all that follows; large tables have more and stay as they are.
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in ("events", "documents") and table.rdd.getNumPartitions() < cores:
+                table = table.repartition(cores)
+            table.createOrReplaceTempView(view)
             self._views[key] = view
         return self._views[key]
 

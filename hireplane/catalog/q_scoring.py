@@ -351,8 +351,7 @@ def _(i):
 
 DERIVED["refreshed"] = (["chosen"], f"""
     SELECT * FROM chosen WHERE {q.us_location('location')}""")
-_TIES = ["source_ats", "company_slug", "apply_url", "departments", "description_html", q.page_text("description_html"), "is_target_role",
-         "location", "posted_at", "title"]
+_TIES = ["source_ats", "company_slug", "apply_url", "departments", "is_target_role", "location", "posted_at", "title"]
 DERIVED["refreshed_jobs"] = (["refreshed"], f"""
     SELECT job_id, arg_max(title, k) FILTER (WHERE title IS NOT NULL) AS title,
       arg_max(is_target_role, k) FILTER (WHERE is_target_role IS NOT NULL) AS is_target_role,

@@ -163,17 +163,16 @@ def track_jobs(bronze: DataFrame) -> DataFrame:
 
 
 _KEY, _ROWS = "_order", "_winners"
+_TOLD = ["source_ats", "company_slug", "apply_url", "departments", "is_target_role", "location", "posted_at", "title"]
 
 
 def order_key(columns: list[str]) -> Column:
-    """One number that orders all rows of a job: scrape time, then a digest of provider, company and the other columns.
+    """One number that orders the rows of a job: scrape time, then a digest of provider, company and the other short columns.
 
     Postings of one run have the same time and may share an id across providers,
     so equal times are the rule; one order for all columns keeps a row whole.
-    ``raw_json`` is left out: it is the source of the other columns.
     """
-    told = ["source_ats", "company_slug"]
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*told, *sorted(set(columns) - {*told, "job_id", "scraped_at", "raw_json"})] if c in columns]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _TOLD if c in columns]
     digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("decimal(19,0)")
     micros = F.coalesce(F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(-(10**17)))
     return (micros.cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + digest).cast("decimal(38,0)")
@@ -190,12 +189,15 @@ def _winners(bronze: DataFrame, conditions: dict[str, Column], columns: list[str
     tops = keyed.groupBy("job_id").agg(*[F.max(F.when(c, F.col(_KEY))).alias(f"_k_{name}") for name, c in conditions.items()], *more)
     keys = tops.select("job_id", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_k_{n}" for n in conditions])))).alias(_KEY))
     rows = keyed.select("job_id", _KEY, *columns).join(keys, ["job_id", _KEY])
-    gathered = rows.groupBy("job_id").agg(F.collect_list(F.struct(_KEY, *columns)).alias(_ROWS))
+    # Rows with one key are alike in all short columns; sorting makes the choice among their texts repeatable.
+    gathered = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(_KEY, *columns))).alias(_ROWS))
     return tops.join(gathered, "job_id", "left")
 
 
 def _won(name: str, column: str) -> Column:
-    return F.get(F.filter(_ROWS, lambda r: r[_KEY] == F.col(f"_k_{name}")), F.lit(0))[column].alias(column)
+    rows = F.filter(_ROWS, lambda r: r[_KEY] == F.col(f"_k_{name}"))
+    known = F.filter(rows, lambda r: r[column].isNotNull()) if name == column else rows
+    return F.get(known, F.lit(0))[column].alias(column)
 
 
 def latest_values(bronze: DataFrame, columns: list[str] | None = None) -> DataFrame:
