@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,13 @@ import xxhash
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "ti", "vo") for b in ("ban", "den", "fis", "gol", "hum", "jar", "kel", "lim")]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")

@@ -1,16 +1,9 @@
-import random
-
 import pytest
+from brute import prose
 
-WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "ti", "vo") for b in ("ban", "den", "fis", "gol", "hum", "jar", "kel", "lim")]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def prose(seed, n):
-    rng = random.Random(seed)
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def awkward():
     """Documents with nulls, empty and long texts, ties, repeated passages and odd characters: (doc_id, text)."""

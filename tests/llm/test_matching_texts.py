@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import WORDS, prose
+from brute import WORDS, prose
 from pyspark.sql import functions as F
 
 from hireplane.llm import decontamination, simhash, substrings
