@@ -138,10 +138,10 @@ rejected AS (
 )
 SELECT b.conv_id AS pair_id, CAST(b.cut AS INTEGER) AS n_prompt_turns,
   COALESCE(string_agg(p.head || p.body, '' ORDER BY p.i) FILTER (WHERE side = 'c' AND i <= cut), '') AS prompt,
-  COALESCE(flatten(list([p.head, p.body] ORDER BY p.i) FILTER (WHERE side = 'c' AND i > cut)), []) AS chosen_texts,
-  COALESCE(flatten(list([0, CAST(role = 'assistant' AS INTEGER)] ORDER BY p.i) FILTER (WHERE side = 'c' AND i > cut)), []) AS chosen_masks,
-  COALESCE(flatten(list([p.head, p.body] ORDER BY p.i) FILTER (WHERE side = 'r' AND i > cut)), []) AS rejected_texts,
-  COALESCE(flatten(list([0, CAST(role = 'assistant' AS INTEGER)] ORDER BY p.i) FILTER (WHERE side = 'r' AND i > cut)), []) AS rejected_masks,
+  array_to_string(COALESCE(flatten(list([p.head, p.body] ORDER BY p.i) FILTER (WHERE side = 'c' AND i > cut)), []), '|') AS chosen_texts,
+  array_to_string(COALESCE(flatten(list([0, CAST(role = 'assistant' AS INTEGER)] ORDER BY p.i) FILTER (WHERE side = 'c' AND i > cut)), []), '|') AS chosen_masks,
+  array_to_string(COALESCE(flatten(list([p.head, p.body] ORDER BY p.i) FILTER (WHERE side = 'r' AND i > cut)), []), '|') AS rejected_texts,
+  array_to_string(COALESCE(flatten(list([0, CAST(role = 'assistant' AS INTEGER)] ORDER BY p.i) FILTER (WHERE side = 'r' AND i > cut)), []), '|') AS rejected_masks,
   count(*) FILTER (WHERE i > cut) = 0 AS identical
 FROM both_ b JOIN parts p USING (conv_id) GROUP BY b.conv_id, b.cut
 """

@@ -54,7 +54,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preferences.swapped_replies(table(spark, sf_dir, "conversations"))
-    return preferences.format_pairs(pairs)
+    done = preferences.format_pairs(pairs)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
+    return done.select(*[text(c) if c.endswith(("_texts", "_masks")) else c for c in done.columns])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
