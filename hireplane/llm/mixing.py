@@ -9,6 +9,7 @@ partitioning give the same copies.
 Null sources form one source. Documents with a null id share one hash. Sources
 without a target weight take ``default_weight``; a weight of 0 drops a source.
 Repeated rows with the same id get the same count. An empty table stays empty.
+Rates may be large (one document of a source with a large weight).
 """
 
 from __future__ import annotations
@@ -28,16 +29,28 @@ def unit(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as far as a double below 1 can reach."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+def least_count(rate: Column) -> Column:
+    """A count so far below the rate that the distribution up to it is nothing; 0 for rates up to 216."""
+    return F.greatest(F.lit(0), F.floor(rate - 12 * F.sqrt(rate) - 40)).cast("bigint")
+
+
+def poisson_cdf(rate: Column, least: Column) -> Column:
+    """P(least <= X <= k) for k = least, least + 1, ... as far as a double below 1 can reach.
+
+    The first term is exp(-rate) at 0, and else taken from its logarithm
+    (Stirling's series), as exp(-rate) is 0 for rates over 745.
+    """
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("bigint")
+    k0 = least.cast("double")
+    factorial = k0 * F.log(k0) - k0 + 0.5 * F.log(2 * F.pi() * k0) + 1 / (12 * k0) - 1 / (360 * F.pow(k0, F.lit(3.0)))
+    first = F.when(least == 0, F.exp(-rate)).otherwise(F.exp(k0 * F.log(rate) - rate - factorial))
+    start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
+    return F.aggregate(F.sequence(least + 1, last), start, step)["cdf"]
 
 
 def rates(
@@ -54,7 +67,8 @@ def rates(
     out = counts.withColumn("all_n", all_n).withColumn("all_weight", all_weight)
     share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0)
     out = out.withColumn("rate", share * F.lit(float(size)) * F.col("all_n") / F.col("n"))
-    return out.select("_source", "n", "rate", F.explode(F.array(poisson_cdf(F.col("rate")))).alias("_cdf"))
+    out = out.withColumn("_least", least_count(F.col("rate")))
+    return out.select("_source", "n", "rate", "_least", F.explode(F.array(poisson_cdf(F.col("rate"), F.col("_least")))).alias("_cdf"))
 
 
 def counted(
@@ -74,7 +88,7 @@ def counted(
         by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.join(by_source, docs[source_col].eqNullSafe(by_source["_source"]) & (salt == by_source["_salt"]), "left")
     u = unit(seed, docs[id_col])
-    count = F.size(F.filter(by_source["_cdf"], lambda c: c <= u))
+    count = (by_source["_least"] + F.size(F.filter(by_source["_cdf"], lambda c: c <= u))).cast("int")
     name = "_count"
     while name in docs.columns:
         name = "_" + name

@@ -3,8 +3,9 @@
 A fingerprint bit is 1 where over half of the 64-bit hashes of a text's word
 shingles have it. Two fingerprints link when at most ``distance`` bits differ.
 
-Search over distinct fingerprints: the 64 bits are cut into ``SEGMENTS`` parts,
-so two linked fingerprints differ by at most ``distance // SEGMENTS`` bits in
+Search over distinct fingerprints: the 64 bits are cut into a few parts (three,
+or two of 32 bits where there are so many fingerprints that smaller parts would
+all be crowded; the links are the same for any number), so two linked fingerprints differ by at most ``distance // SEGMENTS`` bits in
 one part at least. Every fingerprint goes into a table under each of its parts,
 asks for all values in a small Hamming ball around each part, and the full
 distance is verified on what it gets. Of two parts that differ the one with

@@ -1,5 +1,6 @@
 """Quality rules and mixing next to plain Python, with awkward rows."""
 
+import math
 from collections import Counter
 
 import brute
@@ -61,6 +62,21 @@ def test_many_sources_take_the_salted_join(docs, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs, {"s0": 2.0}).select("doc_id", "copy").collect())) == want
 
 
+def test_large_rates(spark):
+    """Rates of 300 to 4000, where exp(-rate) is no longer a double: counts are the inverse distribution at the same numbers."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
+    weights = {"s0": 3.0, "s1": 10.0, "s2": 20.0, "s3": 40.0}
+    counts = {r["doc_id"]: r["_count"] for r in mixing.counted(docs, weights, size=1825.0).collect()}
+    for r in docs.withColumn("u", mixing.unit(17, F.col("doc_id"))).collect():
+        rate = weights[r["source"]] / 73 * 1825 * 4
+        total, k = 0.0, -1
+        while total <= r["u"]:
+            k += 1
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        assert counts[r["doc_id"]] == k
+    assert mixing.mix(docs.limit(1), {"s0": 1.0}, size=5000.0).count() > 4000
+
+
 def test_mixing_awkward(docs, empty, clashing, spark):
     assert mixing.mix(empty).count() == 0
     out = mixing.mix(clashing, {"s0": 2.0})
