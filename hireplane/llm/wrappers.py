@@ -29,6 +29,8 @@ import html as html_module
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,6 +45,8 @@ ALIKE = 3
 SALTS = 32
 BROADCAST_CHARS = 16_000_000
 MOST_PERIOD = 6
+ALIGN_CELLS = 1 << 18
+ALIGN_PART = 256
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -226,33 +230,79 @@ def _both(a: list, b: list) -> list:
     return ["g", a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
 
 
-def matched(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of the items' keys."""
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
-    if ka == kb:
-        return [(i, i) for i in range(len(ka))]
-    head = 0
-    while head < min(len(ka), len(kb)) and ka[head] == kb[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(ka), len(kb)) - head and ka[-1 - tail] == kb[-1 - tail]:
-        tail += 1
-    xs, ys = ka[head : len(ka) - tail], kb[head : len(kb) - tail]
+def _longest_common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; time and memory are the product of the lengths."""
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i in range(len(xs) - 1, -1, -1):
         for j in range(len(ys) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if xs[i] == ys[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs = [(i, i) for i in range(head)]
+    pairs = []
     i = j = 0
     while i < len(xs) and j < len(ys):
         if xs[i] == ys[j]:
-            pairs.append((head + i, head + j))
+            pairs.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return pairs + [(len(ka) - t, len(kb) - t) for t in range(tail, 0, -1)]
+    return pairs
+
+
+def _anchors(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Places of keys that either side has once, as many of them as are in the same order on both sides."""
+    once = lambda keys: {k for k, n in Counter(keys).items() if n == 1}
+    both = once(xs) & once(ys)
+    place = {k: j for j, k in enumerate(ys) if k in both}
+    tails: list[int] = []
+    chains: list[tuple] = []  # the last pair of the best chain of each length, with the chain before it
+    for i, k in enumerate(xs):
+        if k in both:
+            at = bisect_left(tails, place[k])
+            link = (i, place[k], chains[at - 1] if at else None)
+            if at == len(tails):
+                tails.append(place[k])
+                chains.append(link)
+            else:
+                tails[at], chains[at] = place[k], link
+    out, link = [], chains[-1] if chains else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
+def matched(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence of the items' keys, in order.
+
+    It is a longest one up to ``ALIGN_CELLS``. Longer streams are first cut at
+    keys that both have once, or else into as many even parts, so that time
+    stays near the length of the page.
+    """
+    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(ka), 0, len(kb))]
+    while todo:
+        x0, x1, y0, y1 = todo.pop()
+        while x0 < x1 and y0 < y1 and ka[x0] == kb[y0]:
+            pairs.append((x0, y0))
+            x0, y0 = x0 + 1, y0 + 1
+        while x0 < x1 and y0 < y1 and ka[x1 - 1] == kb[y1 - 1]:
+            x1, y1 = x1 - 1, y1 - 1
+            pairs.append((x1, y1))
+        xs, ys = ka[x0:x1], kb[y0:y1]
+        if len(xs) * len(ys) <= ALIGN_CELLS:
+            pairs += [(x0 + i, y0 + j) for i, j in _longest_common(xs, ys)] if xs and ys else []
+            continue
+        cuts = [(x0 + i, y0 + j) for i, j in _anchors(xs, ys)]
+        pairs += cuts
+        if cuts:
+            for (i, j), (k, m) in zip([(x0 - 1, y0 - 1), *cuts], [*cuts, (x1, y1)]):
+                todo.append((i + 1, k, j + 1, m))
+        else:
+            n = -(-max(len(xs), len(ys)) // ALIGN_PART)
+            todo += [(x0 + len(xs) * i // n, x0 + len(xs) * (i + 1) // n, y0 + len(ys) * i // n, y0 + len(ys) * (i + 1) // n) for i in range(n)]
+    return sorted(pairs)
 
 
 def align(a: list, b: list) -> list:
@@ -261,11 +311,12 @@ def align(a: list, b: list) -> list:
 
     def only(items: list) -> None:
         """Items of one side: an optional group, or a repetition of the group before."""
-        items = [x for x in items]
-        while items and out and out[-1][0] == "g" and shape(items[: len(out[-1][3])]) == shape(out[-1][3]):
+        at = 0
+        while at < len(items) and out and out[-1][0] == "g" and shape(items[at : at + len(out[-1][3])]) == shape(out[-1][3]):
             size = len(out[-1][3])
-            out[-1] = ["g", True, out[-1][2], align(out[-1][3], items[:size])]
-            items = items[size:]
+            out[-1] = ["g", True, out[-1][2], align(out[-1][3], items[at : at + size])]
+            at += size
+        items = items[at:]
         if len(items) == 1 and items[0][0] == "g":
             out.append(["g", items[0][1], True, items[0][3]])
         elif items:

@@ -103,6 +103,30 @@ def test_wrapper_inference():
     assert all(x[0] == "g" for x in one)
 
 
+def test_long_streams_align_in_bounded_time(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    for size in (40, 300, 20_000):
+        a = [["t", rng.choice("abcdefgh") + str(i % 50)] for i in range(size)]
+        b = [x for x in a if rng.random() > 0.1] + [["t", "z"]]
+        b[size // 3 : size // 3] = [["t", "q"]] * 30
+        pairs = wrappers.matched(a, b)
+        assert pairs == sorted(pairs) and all(a[i][1] == b[j][1] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) >= len(b) - 31 if size < 500 else len(pairs) > 0.5 * size
+    unique = [["t", f"n{i}"] for i in range(3000)]
+    assert len(wrappers.matched(unique, unique[:900] + unique[1500:] + unique[1000:1100])) == 2400
+    assert wrappers.matched([], unique) == wrappers.matched(unique, []) == []
+
+
+def test_long_pages_without_repeats(spark):
+    tags = ["p", "h2", "h3", "dd", "pre", "section"]
+    page = lambda n: "<main>" + "".join(f"<{tags[(i * i + i // 7 * n) % 6]}>w{i}" for i in range(6000)) + "</main>"
+    got = text_of(spark, [(n, "http://long.example/", page(n)) for n in range(3)])
+    assert all(t.split("\n") == [f"w{i}" for i in range(6000)] for t in got.values())
+
+
 def test_every_page_of_the_tables_equals_a_plain_parser(spark):
     import html
 
