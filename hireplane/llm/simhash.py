@@ -3,13 +3,14 @@
 A fingerprint bit is 1 where over half of the 64-bit hashes of a text's word
 shingles have it. Two fingerprints link when at most ``distance`` bits differ.
 
-Search over distinct fingerprints: the 64 bits are cut into a few parts (three,
-or two of 32 bits where there are so many fingerprints that smaller parts would
-all be crowded; the links are the same for any number), so two linked fingerprints differ by at most ``distance // SEGMENTS`` bits in
-one part at least. Every fingerprint goes into a table under each of its parts,
-asks for all values in a small Hamming ball around each part, and the full
-distance is verified on what it gets. Of two parts that differ the one with
-fewer ones asks, which halves the balls and loses nothing.
+Search over distinct fingerprints: the 64 bits are cut into ``n`` parts, so two
+linked fingerprints differ by at most ``distance // n`` bits in one part at
+least. Every fingerprint goes into a table under each of its parts, asks for
+all values in a small Hamming ball around each part, and the full distance is
+verified on what it gets. Where the radius is 1, of two parts that differ the
+one with fewer ones asks, which halves the balls and loses nothing. Any number
+of parts gives the same classes; it is taken from the number of fingerprints,
+so that a part has more values than would crowd it (see ``parts_for``).
 
 Crowded parts (more than ``CROWD`` fingerprints under one value) would give
 pairs by the square. There fingerprints are first linked to the least one that
@@ -38,7 +39,6 @@ from hireplane.llm.components import connected, stored
 
 SHINGLE = 4
 DISTANCE = 4
-SEGMENTS = 3
 SEED = 42
 CROWD = 64
 
@@ -91,7 +91,18 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def segments(n: int = SEGMENTS) -> list[tuple[int, int]]:
+def parts_for(n_prints: int, distance: int = DISTANCE, crowd: int = CROWD) -> int:
+    """The most parts whose values, evenly used, hold at most ``crowd`` fingerprints each; balls are smallest then.
+
+    At least two, as a cell's value takes at most 32 bits; at most such that the balls have a radius of 1.
+    """
+    n = max(2, distance // 2 + 1)
+    while n > 2 and n_prints > crowd << 64 // n:
+        n -= 1
+    return n
+
+
+def segments(n: int) -> list[tuple[int, int]]:
     """(shift, width) of ``n`` parts of 64 bits."""
     widths = [64 // n + (i < 64 % n) for i in range(n)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
@@ -118,11 +129,12 @@ def distance_of(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, n_segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, n_segments: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(a, b): enough verified links between the distinct ``fp`` of ``prints`` to connect all that are linked.
 
     Outside crowded cells these are all links; in them, links inside one component may be missing.
     """
+    n_segments = n_segments or parts_for(prints.count(), distance, crowd)
     parts, radius = segments(n_segments), distance // n_segments
     fp = F.col("fp")
     cells = prints.select(F.explode(F.array(*[_cell(i, _part(fp, s, w)) for i, (s, w) in enumerate(parts)])).alias("cell"), "fp")
@@ -173,7 +185,7 @@ def _crowded_links(asks: DataFrame, table: DataFrame, full: DataFrame, near: Col
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
-    n_segments: int = SEGMENTS, crowd: int = CROWD,
+    n_segments: int | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """Per document: id, ``fp``, ``component_id`` (the least id of its class)."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

@@ -118,6 +118,11 @@ def test_links_connect_like_all_pairs(spark, n_segments, crowd):
     assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values() if len(s) > 1}
 
 
+def test_number_of_parts():
+    assert [simhash.parts_for(n) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [3, 3, 3, 2, 2]
+    assert [simhash.parts_for(10, distance) for distance in (1, 2, 3, 5, 7)] == [2, 2, 2, 3, 4]
+
+
 def test_components_of_chains_and_repeats(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5), (None, 4), (301, 300)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
