@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -106,11 +108,14 @@ class Lexicon:
             else:
                 spared.append((start, end))
         if spared and best:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+            # For each place where an exception starts, how far those that started up to there reach.
+            spared.sort()
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            best = {s: w for s, w in best.items() if not (at := bisect_right(starts, s)) or reach[at - 1] <= s}
         return sorted(best.items())
 
     def measures(self, text: str) -> tuple[float, float]:
-        """Summed weight, and weight per hundred words at most one word counted for each blank."""
+        """Summed weight, and weight per word."""
         folded = fold(text)
         found = self.matches(folded)
         if not found:

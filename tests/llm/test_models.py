@@ -128,3 +128,9 @@ def test_exception_phrase_takes_the_weight_back():
     assert lexicon.measures("this is bad, worst")[0] == 3.0
     assert toxicity.Lexicon({"worse*": 2.0}).measures("worsens")[0] == 2.0
     assert toxicity.Lexicon({}).measures("bad")[0] == 0
+
+
+def test_overlapping_exceptions_in_long_texts():
+    lexicon = toxicity.Lexicon({"bad": 3.0}, ["not bad", "bad not bad", "bad luck"])
+    assert lexicon.measures("bad " + "not bad " * 20_000)[0] == 0
+    assert lexicon.measures("bad luck not bad so bad " * 5_000)[0] == 15_000.0
