@@ -131,6 +131,6 @@ def test_exception_phrase_takes_the_weight_back():
 
 
 def test_overlapping_exceptions_in_long_texts():
-    lexicon = toxicity.Lexicon({"bad": 3.0}, ["not bad", "bad not bad", "bad luck"])
+    lexicon = toxicity.Lexicon({"bad": 3.0}, ["not bad", "bad not bad", "bad hat"])
     assert lexicon.measures("bad " + "not bad " * 20_000)[0] == 0
-    assert lexicon.measures("bad luck not bad so bad " * 5_000)[0] == 15_000.0
+    assert lexicon.measures("bad hat not bad so bad " * 5_000)[0] == 15_000.0
