@@ -462,6 +462,34 @@ def _(i):
     return few_pairs(i).select("candidate_id", "job_id", score.alias("match_score"))
 
 
+_ANY_ROLE = q.quote("|".join(w for words in K.ROLE_KEYWORDS.values() for w in words))
+DERIVED["documented"] = (["few", "candidates", "index_table"], f"""
+    SELECT f.*, CASE WHEN c.place > 0 THEN greatest(0, j.level - c.place) ELSE 0 END AS seniority_gap,
+      len(c.roles) > 0 AND NOT f.role_match AND regexp_matches(j.name, {_ANY_ROLE}) AS off_target
+    FROM few f JOIN (
+      SELECT candidate_id, coalesce(CASE WHEN len(target_roles) > 0 THEN target_roles ELSE best_fit_roles END, []) AS roles,
+        coalesce(list_position(['Entry', 'Mid', 'Senior', 'Staff', 'Principal'], seniority_level), 0) AS place FROM candidates) c USING (candidate_id)
+    JOIN (
+      SELECT job_id, lower(coalesce(title, '')) AS name, CASE WHEN regexp_matches(name, '\\bprincipal\\b') THEN 5
+        WHEN regexp_matches(name, '\\bstaff\\b') THEN 4 WHEN regexp_matches(name, '\\b(senior|lead)\\b') THEN 3
+        WHEN regexp_matches(name, '\\b(junior|intern)\\b') THEN 1 ELSE 2 END AS level FROM index_table) j USING (job_id)""")
+
+
+@register("m9_documented_score", (["documented"], f"""
+    SELECT candidate_id, job_id, CAST(seniority_gap AS BIGINT) AS seniority_gap, off_target, CASE WHEN seniority_gap < 2 THEN {q.round4(
+        "greatest(0.0::DOUBLE, 0.50::DOUBLE * semantic + 0.30::DOUBLE * skill + 0.10::DOUBLE * role_match::INT + 0.10::DOUBLE * location_match::INT"
+        " - (CASE WHEN seniority_gap = 1 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN off_target THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END))")} END
+      AS documented_score FROM documented"""))
+def _(i):
+    roles = matching.wanted_roles(F.col("target_roles"), F.col("best_fit_roles"))
+    rows = few_pairs(i).withColumns({
+        "seniority_gap": matching.seniority_gap(F.col("title"), F.col("seniority_level")),
+        "off_target": matching.off_target(F.col("title"), roles),
+    })
+    score = matching.documented_score(*[F.col(c) for c in ("semantic", "skill", "role_match", "location_match", "seniority_gap", "off_target")])
+    return rows.select("candidate_id", "job_id", "seniority_gap", "off_target", score.alias("documented_score"))
+
+
 @register("m8_match_candidates", (["matched20"], f"""
     SELECT candidate_id, job_id, company_slug, title, location, apply_url, posted_at, description_text, match_score,
       semantic_score, skill_overlap_score, role_match, location_match, {q.joined('matched_skills')} AS matched_skills, match_rank

@@ -58,6 +58,9 @@ USCIS_KINDS = [
 
 # --- fixed values: matching and scoring weights ------------------------------
 W_SEMANTIC, W_SKILL, W_ROLE, W_LOCATION = 0.50, 0.30, 0.10, 0.10
+SENIORITY_PENALTY, OFF_TARGET_PENALTY = 0.08, 0.15
+TITLE_LEVELS = [(5, ["principal"]), (4, ["staff"]), (3, ["senior", "lead"]), (1, ["junior", "intern"])]
+TITLE_LEVEL_DEFAULT = 2
 W_INT_MATCH, W_INT_VISA, W_INT_RECENCY = 0.40, 0.35, 0.25
 W_DOM_MATCH, W_DOM_RECENCY = 0.70, 0.30
 UNKNOWN_EMPLOYER_BASE = 0.40

@@ -116,6 +116,42 @@ def match_score(semantic: Column, skill: Column, role: Column, location: Column)
     )
 
 
+# --- score terms that are only documented, off by default --------------------
+
+def title_level(title: Column) -> Column:
+    """Seniority of a job title, 1 to 5, by whole words; the highest word wins, no word is mid level."""
+    lowered = F.lower(F.coalesce(title, F.lit("")))
+    out = None
+    for level, words in K.TITLE_LEVELS:
+        hit = lowered.rlike(rf"\b({'|'.join(words)})\b")
+        out = F.when(hit, level) if out is None else out.when(hit, level)
+    return out.otherwise(K.TITLE_LEVEL_DEFAULT)
+
+
+def seniority_gap(title: Column, candidate: Column) -> Column:
+    """Levels that the job stands above the candidate, 0 if none or if the candidate's level is unknown."""
+    place = F.array_position(F.array(*[F.lit(x) for x in K.SENIORITY_LEVELS]), candidate).cast("int")
+    return F.when(place > 0, F.greatest(F.lit(0), title_level(title) - place)).otherwise(0)
+
+
+def off_target(title: Column, roles: Column) -> Column:
+    """The title names a known role, and none that the candidate wants; false without wanted roles."""
+    known = F.array(*[F.lit(r) for r in K.ROLE_KEYWORDS])
+    return F.coalesce((F.size(roles) > 0) & role_match(title, known) & ~role_match(title, roles), F.lit(False))
+
+
+def documented_score(
+    semantic: Column, skill: Column, role: Column, location: Column, gap: Column, off: Column,
+) -> Column:
+    """Match score with both penalties and a floor of 0; null for a job two or more levels above the candidate."""
+    penalty = F.when(gap == 1, K.SENIORITY_PENALTY).otherwise(0.0) + F.when(off, K.OFF_TARGET_PENALTY).otherwise(0.0)
+    score = (
+        K.W_SEMANTIC * semantic + K.W_SKILL * skill + K.W_ROLE * role.cast("double")
+        + K.W_LOCATION * location.cast("double") - penalty
+    )
+    return F.when(gap < 2, round4(F.greatest(F.lit(0.0), score)))
+
+
 # --- the block task ----------------------------------------------------------
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -120,3 +120,21 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>")
     got = [r[0] for r in df.select(matching.unit_vector(F.col("v"))).collect()]
     assert got == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_documented_score_terms(spark):
+    rows = spark.createDataFrame([
+        ("Senior Data Engineer", "Mid", ["Data Engineer"], 1, False), ("Principal Data Engineer", "Mid", ["Data Engineer"], 3, False),
+        ("Data Scientist", "Senior", ["Data Engineer"], 0, True), ("Lead International Chef", "Entry", ["Data Engineer"], 2, False),
+        (None, None, ["Data Engineer"], 0, False), ("Data Scientist", "Guru", [], 0, False), ("Intern, Data Analyst", "Entry", None, 0, False),
+    ], "title string, level string, roles array<string>, gap int, off boolean")
+    title, roles = F.col("title"), F.col("roles")
+    got = rows.select("gap", "off", matching.seniority_gap(title, F.col("level")).alias("g"), matching.off_target(title, roles).alias("o")).withColumns({
+        "low": matching.documented_score(F.lit(0.1), F.lit(0.0), F.lit(False), F.lit(False), F.col("g"), F.col("o")),
+        "high": matching.documented_score(F.lit(1.0), F.lit(1.0), F.lit(True), F.lit(True), F.col("g"), F.col("o")),
+    }).collect()
+    for r in got:
+        assert (r["g"], r["o"]) == (r["gap"], r["off"])
+        less = 0.08 * (r["gap"] == 1) + 0.15 * r["off"]
+        want = (None, None) if r["gap"] >= 2 else (round(max(0.0, 0.05 - less), 4), round(1 - less, 4))
+        assert (r["low"], r["high"]) == want
