@@ -9,12 +9,17 @@ group like the one before it makes that one repeated. All pages take part:
 every task folds its pages to one wrapper per host, and those are aligned in
 two steps (host and salt, then host), so no host's pages meet in one task.
 
-The wrapper's slots are judged once per host, by the containers around them:
-slots in the article (``article``, ``main`` or their roles) are main text;
-navigation, page headers, footers, asides, forms, notices, adverts and comments
-are dropped, known by tag, role, class or id; others count only for pages that
-fill no main slot, and then without link blocks and without slots whose text is the same
-on all of at least ``ALIKE`` pages of the host.
+The wrapper's slots are judged once per host. A slot counts its pages, those
+that fill it inside an article (``article``, ``main`` or their roles), and keeps
+its text while all of them agree; text in navigation, page headers, footers,
+asides, forms, notices, adverts and comments, known by tag, role, class or id,
+has slots of its own. Each page is matched with its host's wrapper and its blocks
+are read by their slots: those of a slot that most of its pages have in the
+article are main text, also on a page that marks no article. What a page itself
+marks as article or as one of the others stays that. Pages without main text keep
+their other blocks, without link blocks and without fixed slots: neither optional nor repeated,
+with one text on all of at least ``ALIKE`` pages. A host on which nothing
+varies has no fixed slots. Blocks without a slot are judged by their page alone.
 
 Blocks keep the page's order, one per line; references are decoded, runs of
 white space are one blank. Null or empty html gives an empty text; so do pages
@@ -34,6 +39,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +138,10 @@ class Page:
         linked, self._linked = self._linked, 0
         text = " ".join(html_module.unescape(raw).split())
         if text:
-            self.tokens.append(["#", checksum(text)])
-            self.blocks.append((text, tuple(self._stack), linked / len(raw)))
+            path = tuple(self._stack)
+            kind = judged(path)
+            self.tokens.append(["#", checksum(text), 1, int(kind == "main"), int(kind == "dropped")])
+            self.blocks.append((text, path, linked / len(raw)))
 
     def _open(self, name: str, attributes: str) -> None:
         self._flush()
@@ -186,39 +194,61 @@ def checksum(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-# A wrapper is a list of items: ["t", tag], ["#", checksum of the text or null if it varies],
-# ["g", repeated, optional, items].
+# A wrapper is a list of items: ["t", tag], ["g", repeated, optional, items] and slots
+# ["#", checksum of the text or null if it varies, times filled, times in the article, 1 if dropped, numbers of a page's blocks].
+# The last is there while a page is matched only.
+
+
+def _slot(item: list) -> str:
+    return "#-" if len(item) > 4 and item[4] else "#"
 
 
 def shape(items: list) -> tuple:
     """Structure without texts."""
-    return tuple(item[1] if item[0] == "t" else "#" if item[0] == "#" else (item[1], shape(item[3])) for item in items)
+    return tuple(item[1] if item[0] == "t" else _slot(item) if item[0] == "#" else (item[1], shape(item[3])) for item in items)
+
+
+def _numbered(items: list) -> np.ndarray:
+    """One number per shape of an item."""
+    known: dict = {}
+    return np.array([known.setdefault(x, len(known)) for x in shape(items)], dtype=np.int32)
 
 
 def fold_repeats(items: list) -> list:
-    """Groups that stand side by side twice or more, as one repeated group; short periods first."""
-    for period in range(1, MOST_PERIOD + 1):
+    """Groups that stand side by side twice or more, as one repeated group; short periods up to ``MOST_PERIOD`` first.
+
+    Each period is one comparison of the numbered stream with itself, so a stream
+    of n items costs n * n / 2 byte-wise steps at most.
+    """
+    numbers, period = _numbered(items), 1
+    while 2 * period <= len(items) and period <= MOST_PERIOD:
+        same = numbers[period:] == numbers[:-period]
+        if np.count_nonzero(same) < period:
+            period += 1
+            continue
+        ends = np.append(np.flatnonzero(~same), len(same))
+        run = ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same))
+        starts = np.flatnonzero(run >= period).tolist()
         out: list = []
-        i, shapes = 0, shape(items)
-        while i < len(items):
-            n = 1
-            while shapes[i + n * period : i + (n + 1) * period] == shapes[i : i + period] and i + (n + 1) * period <= len(items):
-                n += 1
-            if n > 1 and not (period == 1 and items[i][0] == "g"):
-                group = items[i : i + period]
-                for k in range(1, n):
-                    group = align(group, items[i + k * period : i + (k + 1) * period])
-                out.append(["g", True, False, group])
-                i += n * period
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
+        i = 0
+        for at in starts:
+            if at < i or period == 1 and items[at][0] == "g":
+                continue
+            n = 1 + int(run[at]) // period
+            group = items[at : at + period]
+            for k in range(1, n):
+                group = align(group, items[at + k * period : at + (k + 1) * period])
+            out += [*items[i:at], ["g", True, False, group]]
+            i = at + n * period
+        if i:
+            items = out + items[i:]
+            numbers = _numbered(items)
+        period += 1
     return items
 
 
 def _key(item: list) -> str:
-    return item[1] if item[0] == "t" else "#" if item[0] == "#" else "(" + (_key(item[3][0]) if item[3] else "")
+    return item[1] if item[0] == "t" else _slot(item) if item[0] == "#" else "(" + (_key(item[3][0]) if item[3] else "")
 
 
 def _both(a: list, b: list) -> list:
@@ -226,7 +256,8 @@ def _both(a: list, b: list) -> list:
     if a[0] == "t":
         return a
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None]
+        text = a[1] if a[1] == b[1] else None
+        return ["#", text, a[2] + b[2], a[3] + b[3], a[4], *([a[5] + b[5]] if len(a) > 5 else [])] if len(a) > 4 else ["#", text]
     return ["g", a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
 
 
@@ -333,35 +364,61 @@ def align(a: list, b: list) -> list:
 
 
 class Slots:
-    """What a wrapper's text slots hold: by path of containers main, dropped or other, and texts that never change."""
+    """A host's wrapper with its slots judged: main, dropped, fixed or other."""
 
-    def __init__(self, wrapper: list):
-        self.kinds: dict[tuple[str, ...], str] = {}
-        self.fixed: set[int] = set()
-        self._walk(wrapper, [], False)
+    def __init__(self, wrapper: list, n_pages: int):
+        self._n, self._kinds = n_pages, set()
+        self._items = self._judge(wrapper, False, False)
+        self._varies = bool(self._kinds & {"main", "other"})
 
-    def _walk(self, items: list, stack: list[str], repeated: bool) -> None:
+    def _judge(self, items: list, repeated: bool, optional: bool) -> list:
+        """Items with the kind of each slot; optional groups that do not repeat are opened."""
+        out: list = []
         for item in items:
-            if item[0] == "t":
-                step(stack, item[1])
-            elif item[0] == "g":
-                self._walk(item[3], stack, repeated or item[1])
+            if item[0] == "g":
+                inner = self._judge(item[3], repeated or item[1], optional or item[2])
+                out += [["g", item[1], item[2], inner]] if item[1] else inner
+            elif item[0] == "#":
+                _, text, n, n_main, dropped = item
+                alike = text is not None and not repeated and self._n >= ALIKE
+                kind = "dropped" if dropped else "main" if 2 * n_main > n else "fixed" if alike else "other"
+                self._kinds.add(kind)
+                out.append([*item, kind])
             else:
-                path = tuple(stack)
-                self.kinds[path] = judged(path)
-                if item[1] is not None and not repeated and self.kinds[path] == "other":
-                    self.fixed.add(item[1])
-
-
-def main_text(page: Page, slots: Slots, n_pages: int) -> str:
-    """Text of a page's main slots, one block per line; a path that alignment left unclear is judged by itself."""
-    kinds = [slots.kinds.get(path) or judged(path) for _, path, _ in page.blocks]
+                out.append(item)
+        return out
+
+    def of(self, page: Page) -> dict[int, str]:
+        """Kind of each block of a page that has a slot in the wrapper, by its number."""
+        numbers = iter(range(len(page.blocks)))
+        found: dict[int, str] = {}
+        self._match(self._items, fold_repeats([[*t, [next(numbers)]] if t[0] == "#" else t for t in page.tokens]), found)
+        return found if self._varies else {k: "other" if v == "fixed" else v for k, v in found.items()}
+
+    def _match(self, ours: list, theirs: list, found: dict[int, str]) -> None:
+        """Slots to blocks by a common subsequence; what it leaves between is matched again with its groups opened."""
+        i = j = 0
+        for x, y in [*matched(ours, theirs), (len(ours), len(theirs))]:
+            left, right = ours[i:x], theirs[j:y]
+            if left and right and any(item[0] == "g" for item in left + right):
+                self._match(*[[e for item in side for e in (item[3] if item[0] == "g" else [item])] for side in (left, right)], found)
+            if x < len(ours):
+                if ours[x][0] == "g":
+                    self._match(ours[x][3], theirs[y][3], found)
+                elif ours[x][0] == "#":
+                    found.update(dict.fromkeys(theirs[y][5], ours[x][-1]))
+            i, j = x + 1, y + 1
+
+
+def main_text(page: Page, slots: Slots) -> str:
+    """Text of a page's main slots, one block per line; the page's own marks come before its slots, which decide on all other blocks."""
+    kinds = [judged(path) for _, path, _ in page.blocks]
+    if "other" in kinds:
+        found = slots.of(page)
+        kinds = [found.get(k, "other") if kind == "other" else kind for k, kind in enumerate(kinds)]
     if "main" in kinds:
         return "\n".join(text for (text, _, _), kind in zip(page.blocks, kinds) if kind == "main")
-    fixed = slots.fixed if n_pages >= ALIKE else ()
-    return "\n".join(
-        text for (text, _, linked), kind in zip(page.blocks, kinds) if kind == "other" and linked < 0.8 and checksum(text) not in fixed
-    )
+    return "\n".join(text for (text, _, linked), kind in zip(page.blocks, kinds) if kind == "other" and linked < 0.8)
 
 
 PARTIAL = "host string, salt int, n bigint, wrapper string"
@@ -440,8 +497,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if host not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[host] = Slots(json.loads(wrapper))
-                texts.append(main_text(Page(source or ""), known[host], n))
+                    known[host] = Slots(json.loads(wrapper), n)
+                texts.append(main_text(Page(source or ""), known[host]))
             yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     return rows.mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)

@@ -136,3 +136,15 @@ def test_every_page_of_the_tables_equals_a_plain_parser(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_the_wrapper_decides_on_a_page_without_article(spark):
+    page = "<body><div>Site name</div>{}<p>{}</p><p>{}</p>{}<div>Read on</div></body>"
+    sources = [page.format("<article>", f"a{i}", f"b{i}", "</article>") for i in range(3)] + [page.format("<section>", "a3", "b3", "</section>")]
+    got = text_of(spark, [(i, "http://w.example/" + str(i), x) for i, x in enumerate(sources)] + [(9, "http://lone.example/", sources[3])])
+    assert got == {0: "a0\nb0", 1: "a1\nb1", 2: "a2\nb2", 3: "a3\nb3", 9: "Site name\na3\nb3\nRead on"}
+    last = wrappers.Page(sources[3])
+    assert wrappers.main_text(last, wrappers.Slots([], 4)) == got[9]
+    marked = wrappers.Page("<body><article><p>t</article><section><p>more</section></body>")
+    both = wrappers.Slots(wrappers.fold_repeats(wrappers.Page("<body><article><p>t</article><article><section><p>more</section></article></body>").tokens), 1)
+    assert wrappers.main_text(marked, wrappers.Slots([], 1)) == "t" and wrappers.main_text(marked, both) == "t\nmore"
