@@ -50,7 +50,6 @@ from hireplane.llm.components import stored
 ALIKE = 3
 SALTS = 32
 BROADCAST_CHARS = 16_000_000
-MOST_PERIOD = 6
 ALIGN_CELLS = 1 << 18
 ALIGN_PART = 256
 
@@ -215,13 +214,13 @@ def _numbered(items: list) -> np.ndarray:
 
 
 def fold_repeats(items: list) -> list:
-    """Groups that stand side by side twice or more, as one repeated group; short periods up to ``MOST_PERIOD`` first.
+    """Groups that stand side by side twice or more, as one repeated group; short periods first, of any length.
 
     Each period is one comparison of the numbered stream with itself, so a stream
     of n items costs n * n / 2 byte-wise steps at most.
     """
     numbers, period = _numbered(items), 1
-    while 2 * period <= len(items) and period <= MOST_PERIOD:
+    while 2 * period <= len(items):
         same = numbers[period:] == numbers[:-period]
         if np.count_nonzero(same) < period:
             period += 1
@@ -380,7 +379,7 @@ class Slots:
                 out += [["g", item[1], item[2], inner]] if item[1] else inner
             elif item[0] == "#":
                 _, text, n, n_main, dropped = item
-                alike = text is not None and not repeated and self._n >= ALIKE
+                alike = text is not None and not (repeated or optional) and n == self._n >= ALIKE
                 kind = "dropped" if dropped else "main" if 2 * n_main > n else "fixed" if alike else "other"
                 self._kinds.add(kind)
                 out.append([*item, kind])

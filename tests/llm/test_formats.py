@@ -148,3 +148,22 @@ def test_the_wrapper_decides_on_a_page_without_article(spark):
     marked = wrappers.Page("<body><article><p>t</article><section><p>more</section></body>")
     both = wrappers.Slots(wrappers.fold_repeats(wrappers.Page("<body><article><p>t</article><article><section><p>more</section></article></body>").tokens), 1)
     assert wrappers.main_text(marked, wrappers.Slots([], 1)) == "t" and wrappers.main_text(marked, both) == "t\nmore"
+
+
+def test_blocks_of_one_page_alone_stay(spark):
+    bodies = ["<p>a</p>", "<p>b</p>", "<p>c</p><h2>sub</h2><blockquote>more</blockquote>"]
+    rows = [(i, f"http://o.example/{i}", f"<body><h1>Site</h1><div>{b}</div></body>") for i, b in enumerate(bodies)]
+    assert text_of(spark, rows) == {0: "a", 1: "b", 2: "c\nsub\nmore"}
+    assert text_of(spark, rows[1:]) == {1: "Site\nb", 2: "Site\nc\nsub\nmore"}
+    alike = [(i, f"http://o.example/{i}", rows[2][2]) for i in range(3)]
+    assert set(text_of(spark, alike).values()) == {"Site\nc\nsub\nmore"}
+
+
+def test_long_repeated_records(spark):
+    tags = ["h2", "h3", "h4", "dl", "dt", "dd", "pre", "p"]
+    record = lambda k: "".join(f"<{t}>{t} {k}" for t in tags)
+    page = lambda n: "<body><h1>Site</h1><ul>" + "".join(record(k) for k in range(n)) + "</ul></body>"
+    folded = wrappers.fold_repeats(wrappers.Page(page(7)).tokens)
+    assert [x[1] for x in folded if x[0] == "g"] == [True] and len(folded) == 8
+    got = text_of(spark, [(n, f"http://r.example/{n}", page(n)) for n in (3, 4, 5)])
+    assert got == {n: "\n".join(f"{t} {k}" for k in range(n) for t in tags) for n in (3, 4, 5)}
