@@ -197,11 +197,30 @@ def classes(
     return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
 
 
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the first row of every id, in hash order of the whole row.
+
+    Ids are counted alone. Only rows of ids that repeat are reduced, by an
+    aggregate that combines before the shuffle.
+    """
+    many = docs.groupBy(F.col(id_col).alias("_many")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("_many")
+    many = stored(many, "repeated-ids")
+    if many.isEmpty():
+        return docs
+    repeats = docs[id_col].eqNullSafe(many["_many"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = docs.join(many, repeats, "left_semi").groupBy(F.col(id_col).alias("_many")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")
+    )
+    return docs.join(many, repeats, "left_anti").unionAll(least.select("_row.*"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, that with the least id, with all its columns.
 
-    Rows that repeat an id are one document: the first of them in hash order of the whole row stays.
+    Rows that repeat an id are one document: the first of them in hash order of the whole row, before classes are formed.
     """
+    docs = one_row_per_id(docs, id_col)
     first = classes(docs, id_col, text_col, **options).select(F.col("component_id").alias("_keep")).distinct()
     kept = docs.join(first, docs[id_col].eqNullSafe(first["_keep"]), "left_semi")
     return kept

@@ -138,6 +138,19 @@ def test_representatives(docs, awkward, empty, clashing):
     assert simhash.representatives(docs.unionAll(docs)).select("doc_id").distinct().count() == len(want)
 
 
+def test_representatives_of_repeated_rows(docs, awkward, empty):
+    from pyspark.sql import functions as F
+
+    want = {v for v in brute.classes(awkward).values()}
+    twice = simhash.representatives(docs.unionAll(docs)).collect()
+    assert len(twice) == len(want) and {r["doc_id"] for r in twice} == want
+    changed = docs.unionAll(docs.where("doc_id in (2, 6)").withColumn("text", F.lit("another text"))).unionAll(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    one = simhash.one_row_per_id(changed.unionAll(changed))
+    assert one.columns == docs.columns and one.count() == docs.count() + 1
+    assert sorted(map(str, one.collect())) == sorted(map(str, simhash.one_row_per_id(changed.repartition(7)).collect()))
+    assert simhash.one_row_per_id(empty).count() == 0
+
+
 def test_cut_equals_brute_force(docs, awkward):
     want = brute.cut(awkward)
     for r in substrings.cut_repeats(docs).collect():
