@@ -167,13 +167,17 @@ _TOLD = ["source_ats", "company_slug", "apply_url", "departments", "is_target_ro
 
 
 def order_key(columns: list[str]) -> Column:
-    """One number that orders the rows of a job: scrape time, then a digest of provider, company and the other short columns.
+    """One number that orders the rows of a job: scrape time, a digest of provider, company and the other short columns, one of the rest.
 
     Postings of one run have the same time and may share an id across providers,
     so equal times are the rule; one order for all columns keeps a row whole.
+    Rows with one number are copies, but for rare clashes of the digests.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _TOLD if c in columns]
-    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("decimal(19,0)")
+    short = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 10), 16, 10).cast("bigint")
+    rest = [F.col(c) for c in columns if c not in (*_TOLD, "job_id", "scraped_at")]
+    wide = F.pmod(F.xxhash64(*rest), F.lit(1 << 23)) if rest else F.lit(0)
+    digest = (F.shiftleft(short, 23) + wide).cast("decimal(19,0)")
     micros = F.coalesce(F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(-(10**17)))
     return (micros.cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + digest).cast("decimal(38,0)")
 
@@ -183,14 +187,15 @@ def _winners(bronze: DataFrame, conditions: dict[str, Column], columns: list[str
 
     The keys are fixed-width numbers, so their maxima are hash aggregates that
     combine before the shuffle. Wide columns come in afterwards, by one join,
-    and only for the rows that won.
+    and only for the rows that won; copies of a row become one before they are
+    shuffled to their job.
     """
     keyed = bronze.filter(F.col("job_id").isNotNull()).withColumn(_KEY, order_key(bronze.columns))
     tops = keyed.groupBy("job_id").agg(*[F.max(F.when(c, F.col(_KEY))).alias(f"_k_{name}") for name, c in conditions.items()], *more)
     keys = tops.select("job_id", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_k_{n}" for n in conditions])))).alias(_KEY))
     rows = keyed.select("job_id", _KEY, *columns).join(keys, ["job_id", _KEY])
-    # Rows with one key are alike in all short columns; sorting makes the choice among their texts repeatable.
-    gathered = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(_KEY, *columns))).alias(_ROWS))
+    # Sorting makes the choice among different rows with one key repeatable.
+    gathered = rows.groupBy("job_id").agg(F.sort_array(F.collect_set(F.struct(_KEY, *columns))).alias(_ROWS))
     return tops.join(gathered, "job_id", "left")
 
 

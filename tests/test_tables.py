@@ -144,6 +144,20 @@ def test_latest_values_do_not_sort_wide_rows(spark):
         assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
+def test_copies_and_tied_texts_are_gathered_once(spark):
+    d = datetime(2024, 1, 5)
+    texts = [dict(job_id="j1", scraped_at=d, description_html=f"<p>{i}", description_text=str(i)) for i in range(50)]
+    copies = [dict(job_id="j2", scraped_at=None, description_html="<p>copy", raw_json="{1}")] * 500
+    rows = bronze(spark, texts + copies).repartition(5)
+    others = [c for c in rows.columns if c != "job_id"]
+    for conditions in ({"row": F.lit(True)}, {c: F.col(c).isNotNull() for c in others}):
+        found = postings._winners(rows, conditions, others)
+        assert {r.job_id: r.n for r in found.select("job_id", F.size("_winners").alias("n")).collect()} == {"j1": 1, "j2": 1}
+    got = {r.job_id: r for r in postings.latest_values(rows).collect()}
+    assert got["j1"].description_html == "<p>" + got["j1"].description_text and got["j2"].description_html == "<p>copy"
+    assert sorted(map(str, postings.latest_rows(rows).select(*rows.columns).collect())) == sorted(map(str, postings.latest_values(rows).select(*rows.columns).collect()))
+
+
 def test_sheets_are_read_back_whole(spark, tmp_path):
     nasty = 'He said "no", then\nleft; 100% \\ done,'
     rows = bronze(spark, [dict(job_id="j1", scraped_at=datetime(2024, 1, 5), title=nasty, description_text=nasty)])
