@@ -145,3 +145,26 @@ SELECT b.conv_id AS pair_id, CAST(b.cut AS INTEGER) AS n_prompt_turns,
   count(*) FILTER (WHERE i > cut) = 0 AS identical
 FROM both_ b JOIN parts p USING (conv_id) GROUP BY b.conv_id, b.cut
 """
+
+ORACLES["op11_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, COALESCE(text, '') AS text, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS s,
+    regexp_extract_all(COALESCE(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), h AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, COALESCE(array_to_string(u[1:a], ''), '') AS prefix, COALESCE(array_to_string(u[a + 1:b], ''), '') AS middle,
+    COALESCE(array_to_string(u[b + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""

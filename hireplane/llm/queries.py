@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hireplane.llm import decontamination, language, mixing, preferences, quality_ranking, quality_rules, simhash, substrings, toxicity, wrappers
+from hireplane.llm import (
+    decontamination, fill_in_middle, language, mixing, packing, preferences, quality_ranking, quality_rules, simhash,
+    substrings, toxicity, whitening, wrappers,
+)
 from hireplane.llm.oracles import ORACLES  # noqa: F401
 from hireplane.llm.samples import id_remainder
 
@@ -85,7 +88,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted", "weight", "rate")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.digests(fill_in_middle.output_pieces(table(spark, sf_dir, "documents")))
+    return done.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    done = whitening.whiten(vectors, whitening.fit(vectors))
+    each = done.select("*", F.posexplode("whitened").alias("place", "value"))
+    return each.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        F.col("value").alias("whitened"), F.get("explained", F.col("place")).alias("explained"), "identity_error",
+    )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        "offset", "context", "step_group",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_quality_rules, op3_mix_sources, op4_substring_dedup, op5_simhash, op6_chat_preferences, op7_language, op8_html_text, op9_quality_classifier, op10_toxicity)
+    for f in (
+        op1_decontamination, op2_quality_rules, op3_mix_sources, op4_substring_dedup, op5_simhash, op6_chat_preferences,
+        op7_language, op8_html_text, op9_quality_classifier, op10_toxicity, op11_fill_in_middle, op12_whitening, op13_packing,
+    )
 }
