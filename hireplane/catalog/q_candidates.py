@@ -12,7 +12,7 @@ from hireplane.catalog.q_postings import silver
 from hireplane.catalog.registry import DERIVED, register, stored
 from hireplane.functions import text
 from hireplane.functions.numbers import round4
-from hireplane.operators import matching, profiles
+from hireplane.operators import matching, profiles, term_index
 from hireplane.plans import ranking
 from hireplane.session import scratch_path
 from hireplane.sources import readers, writers
@@ -401,6 +401,31 @@ def _(i):
     )
 
 
+DERIVED["job_terms"] = (["index_table"], """
+    SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark
+    UNION SELECT DISTINCT lower(p_name) FROM part
+    UNION SELECT DISTINCT lower(company_slug) FROM index_table""")
+DERIVED["index_texts"] = (["index_table"], "SELECT DISTINCT lower(coalesce(description_clean, '')) AS body FROM index_table")
+
+
+@register("j8_term_index", (["index_table", "job_terms", "index_texts"], """
+    SELECT j.job_id, count(*) AS n_terms, md5(string_agg(p.term, '|' ORDER BY p.term)) AS terms
+    FROM index_table j JOIN (SELECT t.term, x.body FROM job_terms t JOIN index_texts x ON contains(x.body, t.term)) p
+      ON p.body = lower(coalesce(j.description_clean, ''))
+    GROUP BY j.job_id"""))
+def _(i):
+    index = index_table(i)
+    table = lambda name: i.spark.read.parquet(f"{i.dialect.sf_dir}/{name}.parquet")
+    terms = (
+        table("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+        .unionAll(table("part").select(F.lower("p_name"))).unionAll(index.select(F.lower("company_slug")))
+    )
+    texts = index.select("job_id", F.lower("description_clean").alias("body"))
+    pairs = term_index.contained_terms(texts, terms, "job_id", "body")
+    listed = F.array_join(F.sort_array(F.collect_set("term")), "|")
+    return pairs.groupBy(F.col("id").alias("job_id")).agg(F.count("*").alias("n_terms"), F.md5(listed).alias("terms"))
+
+
 # Each candidate with the few jobs whose number has the same remainder, whatever they score.
 _FEW = 500
 DERIVED["few"] = (["pairs"], f"""

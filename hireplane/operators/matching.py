@@ -6,8 +6,9 @@ blocks by a hash of their unique ids, each task takes one (candidate block, job
 block), streams the jobs in Arrow batches past the block's candidates, and
 keeps the best ``top_n`` per candidate. Only those rows are shuffled again.
 
-Job texts are searched once per job, before the blocks: a job goes to them as
-its id, its vector and the hashes of the skills, roles and places it names. All
+Job texts are searched once per job, before the blocks, by a term index if there
+are many terms: a job goes to the blocks as its id, its vector and the hashes of
+the skills, roles and places it names. All
 vectors must have one length; another one is an error, a missing one scores 0.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from hireplane import constants as K
 from hireplane.functions import text
 from hireplane.functions.numbers import round4, scaled4
+from hireplane.operators import term_index
 
 INDEX_COLUMNS = [
     "job_id", "company_slug", "title", "location", "apply_url", "posted_at", "is_active",
@@ -35,7 +37,7 @@ SCORES = (
 )
 
 
-TERMS_PER_CHUNK = 5000
+TERMS_PER_SCAN = 2000
 JOBS_PER_BLOCK = 200_000
 
 
@@ -328,53 +330,65 @@ def _hashes(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.xxhash64(t))
 
 
-def named_terms(index: DataFrame, candidates: DataFrame, per_chunk: int = TERMS_PER_CHUNK) -> DataFrame:
+FIELDS = {"skills": "description_clean", "roles": "title", "places": "location"}
+
+
+def named_terms(index: DataFrame, candidates: DataFrame, most_scanned: int = TERMS_PER_SCAN) -> DataFrame:
     """job_id with ``skills``, ``roles``, ``places``: hashes of the candidates' distinct terms that the job names.
 
-    ``candidates`` has arrays of lower-case terms under the same names. Terms are
-    searched ``per_chunk`` at a time; more terms take more passes over the jobs,
-    whose results are put together per job.
+    ``candidates`` has arrays of lower-case terms under the same names. Up to
+    ``most_scanned`` terms are searched one by one in the row of the job; more go
+    through a term index, whose cost does not grow with their number.
     """
-    fields = {"skills": "description_clean", "roles": "title", "places": "location"}
     terms = None
-    for kind in fields:
+    for kind in FIELDS:
         part = candidates.select(F.lit(kind).alias("kind"), F.explode(kind).alias("term")).distinct()
         terms = part if terms is None else terms.unionAll(part)
-    chunks = blocks_for(terms, per_chunk)
-    out = None
-    for k in range(chunks):
-        mine = terms if chunks == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(chunks)) == k)
-
-        wanted = {
-            kind: mine.where(F.col("kind") == kind).agg(F.sort_array(F.collect_set("term"))).scalar() for kind in fields
-        }
-        beside = index.select("job_id", *fields.values(), *[w.alias(kind) for kind, w in wanted.items()])
-
-        def found(kind: str, field: str) -> Column:
-            return text.bind(
-                F.lower(F.coalesce(field, F.lit(""))),
-                lambda body: _hashes(F.filter(kind, lambda t: F.contains(body, t))),
-            )
+    if terms.count() > most_scanned:
+        return indexed_terms(index, terms)
+    wanted = {
+        kind: terms.where(F.col("kind") == kind).agg(F.sort_array(F.collect_set("term"))).scalar() for kind in FIELDS
+    }
+    beside = index.select("job_id", *FIELDS.values(), *[w.alias(kind) for kind, w in wanted.items()])
+
+    def found(kind: str, field: str) -> Column:
+        return text.bind(
+            F.lower(F.coalesce(field, F.lit(""))),
+            lambda body: _hashes(F.filter(kind, lambda t: F.contains(body, t))),
+        )
 
-        part = beside.select("job_id", *[found(kind, field).alias(kind) for kind, field in fields.items()])
-        out = part if out is None else out.unionAll(part)
-    if chunks > 1:
-        out = out.groupBy("job_id").agg(*[F.flatten(F.collect_list(kind)).alias(kind) for kind in fields])
-    return out
+    return beside.select("job_id", *[found(kind, field).alias(kind) for kind, field in FIELDS.items()])
+
+
+def indexed_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``named_terms`` by term index; each kind's texts are read once."""
+    pairs = None
+    for kind, field in FIELDS.items():
+        texts = index.select("job_id", F.lower(field).alias("body"))
+        part = term_index.contained_terms(texts, terms.where(F.col("kind") == kind), "job_id", "body")
+        part = part.select(F.col("id").alias("job_id"), F.lit(kind).alias("kind"), F.xxhash64("term").alias("h"))
+        pairs = part if pairs is None else pairs.unionAll(part)
+    lists = pairs.groupBy("job_id").agg(
+        *[F.collect_set(F.when(F.col("kind") == kind, F.col("h"))).alias(kind) for kind in FIELDS]
+    )
+    none = F.array().cast("array<bigint>")
+    return index.select("job_id").join(lists, "job_id", "left").select(
+        "job_id", *[F.coalesce(kind, none).alias(kind) for kind in FIELDS]
+    )
 
 
 def score_pairs(
     profiles: DataFrame, index: DataFrame, top_n: int, candidate_blocks: int | None = None,
-    job_blocks: int | None = None, per_chunk: int = TERMS_PER_CHUNK,
+    job_blocks: int | None = None, most_scanned: int = TERMS_PER_SCAN,
 ) -> DataFrame:
     """Best ``top_n`` jobs of every candidate within each (candidate block, job block)."""
-    rows = block_rows(profiles, index, candidate_blocks, job_blocks, per_chunk)
+    rows = block_rows(profiles, index, candidate_blocks, job_blocks, most_scanned)
     return rows.mapInArrow(_block_task(top_n), SCORES)
 
 
 def block_rows(
     profiles: DataFrame, index: DataFrame, candidate_blocks: int | None = None, job_blocks: int | None = None,
-    per_chunk: int = TERMS_PER_CHUNK,
+    most_scanned: int = TERMS_PER_SCAN,
 ) -> DataFrame:
     """Slim rows of both tables, one copy for each block they meet in, sorted by block.
 
@@ -403,7 +417,7 @@ def block_rows(
         F.coalesce(location_terms(F.col("preferred_locations")), F.array().cast("array<string>")).alias("places"),
         F.coalesce(F.size("preferred_locations") > 0, F.lit(False)).alias("has_place"),
     )
-    named = named_terms(index, asked, per_chunk)
+    named = named_terms(index, asked, most_scanned)
     candidates = asked.select(
         "candidate_id", "embedding", *[_hashes(F.col(c)).alias(c) for c in ("skills", "roles", "places")], "has_place",
         block_of("candidate_id", candidate_blocks).alias("cb"), every(job_blocks).alias("jb"),

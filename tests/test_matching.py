@@ -89,15 +89,15 @@ def test_vectors_of_another_length_are_an_error(tables, spark, blocks):
         matching.match_candidates(c, odd_jobs, 3, *blocks).collect()
 
 
-@pytest.mark.parametrize(("blocks", "per_chunk"), [((1, 1), 5000), ((6, 1), 100), ((2, 7), 37)])
-def test_many_terms_in_any_blocks_and_chunks(tables, spark, blocks, per_chunk):
+@pytest.mark.parametrize(("blocks", "most_scanned"), [((1, 1), 5000), ((6, 1), 100), ((2, 7), 0)])
+def test_many_terms_in_any_blocks_scanned_or_indexed(tables, spark, blocks, most_scanned):
     people, jobs, _, x = tables
     many = [(p[0], [f"term{(p[0] * 31 + k) % 350}" for k in range(60)] + ["python", "SQL", "SQL"], *p[2:]) for p in people]
     texts = [(*j[:7], j[7] + f" term{i * 4} and term{i * 7 % 350}", j[8]) for i, j in enumerate(jobs)]
     want = every_pair(many, texts, 6)
     table, index = spark.createDataFrame(many, PROFILES), spark.createDataFrame(texts, JOBS)
     got = {}
-    scores = matching.score_pairs(table, index, 6, *blocks, per_chunk=per_chunk)
+    scores = matching.score_pairs(table, index, 6, *blocks, most_scanned=most_scanned)
     for r in matching.top_matches(scores, 6).orderBy("candidate_id", "match_rank").collect():
         got.setdefault(r.candidate_id, []).append((r.match_score, r.job_id))
     assert got == {c: [(s, j) for s, j, _ in rows] for c, rows in want.items()}
