@@ -12,7 +12,7 @@ from hireplane.catalog.q_postings import silver
 from hireplane.catalog.registry import DERIVED, register, stored
 from hireplane.functions import text
 from hireplane.functions.numbers import round4
-from hireplane.operators import matching, profiles, term_index
+from hireplane.operators import matching, profiles, ranks, term_index
 from hireplane.plans import ranking
 from hireplane.session import scratch_path
 from hireplane.sources import readers, writers
@@ -426,19 +426,28 @@ def _(i):
     return pairs.groupBy(F.col("id").alias("job_id")).agg(F.count("*").alias("n_terms"), F.md5(listed).alias("terms"))
 
 
-# Each candidate with the few jobs whose number has the same remainder, whatever they score.
-_FEW = 500
-DERIVED["few"] = (["pairs"], f"""
+# Every candidate with a few jobs, whatever they score: the next ones in the order of ids, round and round.
+_FEW = 5
+DERIVED["few_ids"] = (["candidates", "index_table"], f"""
+    SELECT c.candidate_id, j.job_id FROM (
+      SELECT candidate_id, unnest(range(0, {_FEW})) + {_FEW} * (row_number() OVER (ORDER BY candidate_id) - 1) AS slot FROM candidates) c
+    JOIN (SELECT job_id, row_number() OVER (ORDER BY job_id) - 1 AS place, count(*) OVER () AS n FROM index_table) j
+      ON c.slot % j.n = j.place""")
+DERIVED["few"] = (["pairs", "few_ids"], f"""
     SELECT *, {q.round4('semantic')} AS semantic_score, {q.round4('skill')} AS skill_overlap_score,
       {q.round4("0.50::DOUBLE * semantic + 0.30::DOUBLE * skill + 0.10::DOUBLE * role_match::INT + 0.10::DOUBLE * location_match::INT")} AS match_score
-    FROM pairs WHERE candidate_id % {_FEW} = CAST(substr(job_id, 2) AS BIGINT) % {_FEW}""")
+    FROM pairs SEMI JOIN few_ids USING (candidate_id, job_id)""")
 
 
 def few_pairs(i: Inputs) -> DataFrame:
     """Candidate and job columns side by side, scored by the column functions of the matching module."""
-    people = candidate_table(i).withColumn("_key", F.col("candidate_id") % _FEW).withColumnRenamed("embedding", "c")
-    jobs = index_table(i).withColumn("_key", F.substring("job_id", 2, 100).cast("bigint") % _FEW).withColumnRenamed("embedding", "j")
-    rows = people.join(jobs, "_key").withColumn(
+    people = ranks.ranked(candidate_table(i).withColumnRenamed("embedding", "c"), ["candidate_id"])
+    jobs = ranks.ranked(index_table(i).withColumnRenamed("embedding", "j"), ["job_id"], "_place")
+    n_jobs = jobs.count()
+    slots = F.transform(F.sequence(F.lit(0), F.lit(_FEW - 1)), lambda k: F.pmod(F.col("rank") * _FEW + k, F.lit(max(1, n_jobs))))
+    # Fewer jobs than slots: each job once.
+    people = people.withColumn("_place", F.explode(F.array_distinct(slots)))
+    rows = people.join(jobs, "_place").withColumn(
         "matched_skills", matching.matched_skills(F.col("technical_skills"), F.col("description_clean"))
     )
     return rows.withColumns({
@@ -471,14 +480,43 @@ def _(i):
     return few_pairs(i).select("candidate_id", "job_id", "matched_skills", round4(F.col("skill")).alias("skill_overlap_score"))
 
 
-@register("m4_role_match", (["few"], "SELECT candidate_id, job_id, role_match FROM few"))
-def _(i):
-    return few_pairs(i).select("candidate_id", "job_id", "role_match")
+def _jobs_told(i: Inputs, lists: DataFrame, terms: str, field: str) -> DataFrame:
+    """``list`` and the number of jobs whose ``field`` contains one of the terms of the list.
+
+    Works on the distinct lists, terms and field values, which meet by the index
+    of the terms; jobs come in as counts.
+    """
+    values = index_table(i).groupBy(F.lower(F.coalesce(field, F.lit(""))).alias("value")).agg(F.count("*").alias("n"))
+    wanted = lists.select("list", F.explode(terms).alias("term")).distinct()
+    hits = term_index.contained_terms(values, wanted, "value", "value").withColumnRenamed("id", "value")
+    pairs = wanted.join(hits, "term").select("list", "value")
+    return pairs.distinct().join(values, "value").groupBy("list").agg(F.sum("n").alias("n_jobs"))
 
 
-@register("m5_location_match", (["few"], "SELECT candidate_id, job_id, location_match FROM few"))
+@register("m4_role_match", (["candidates", "index_table", "role_pairs"], """
+    SELECT c.candidate_id, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n_jobs FROM candidates c
+    LEFT JOIN role_pairs r ON r.roles = c.target_roles
+    LEFT JOIN (SELECT coalesce(title, '') AS title, count(*) AS n FROM index_table GROUP BY ALL) t ON t.title = r.title
+    GROUP BY c.candidate_id"""))
+def _(i):
+    """For every candidate the number of jobs whose title names a wanted role."""
+    people = candidate_table(i).select("candidate_id", matching.wanted_roles(F.col("target_roles"), F.col("best_fit_roles")).alias("list"))
+    lists = people.select("list").distinct().withColumn("terms", matching.role_terms(F.col("list")))
+    told = _jobs_told(i, lists, "terms", "title")
+    return people.join(told, "list", "left").select("candidate_id", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"))
+
+
+@register("m5_location_match", (["candidates", "index_table", "place_pairs"], """
+    SELECT c.candidate_id, CAST(coalesce(sum(t.n), 0) AS BIGINT) AS n_jobs FROM candidates c
+    LEFT JOIN place_pairs p ON p.places = c.preferred_locations
+    LEFT JOIN (SELECT coalesce(location, '') AS location, count(*) AS n FROM index_table GROUP BY ALL) t ON t.location = p.location
+    GROUP BY c.candidate_id"""))
 def _(i):
-    return few_pairs(i).select("candidate_id", "job_id", "location_match")
+    """For every candidate the number of jobs at a wanted place."""
+    people = candidate_table(i).select("candidate_id", F.col("preferred_locations").alias("list"))
+    lists = people.select("list").where(F.size("list") > 0).distinct().select("list", F.array_append(matching.location_terms(F.col("list")), F.lit("remote")).alias("terms"))
+    told = _jobs_told(i, lists, "terms", "location")
+    return people.join(told, "list", "left").select("candidate_id", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"))
 
 
 @register("m6_match_score", (["few"], "SELECT candidate_id, job_id, match_score FROM few"))

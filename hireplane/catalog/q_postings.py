@@ -12,6 +12,7 @@ from hireplane.catalog.bindings import POSTINGS_AS_OF, Inputs
 from hireplane.catalog.registry import DERIVED, register
 from hireplane.functions import dates, text
 from hireplane.operators import postings
+from hireplane.plans import incremental
 from hireplane.session import scratch_path
 from hireplane.sources import readers, writers
 from hireplane.streaming import tracking
@@ -267,14 +268,33 @@ def _(i):
 
 @register("r1_stream_tracking", (["tracked"], _TRACKED))
 def _(i):
+    """Every day as its first run, then the even days again: a second run replaces the first."""
     path = scratch_path(i.spark, "tracking")
-    i.jobs_bronze.drop("raw_json").write.parquet(f"{path}/in")
-    schema = i.spark.read.parquet(f"{path}/in").schema
-    stream = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    rows = i.jobs_bronze.drop("raw_json")
+    rows.withColumn("run", F.lit(1)).write.parquet(f"{path}/in/1")
+    rows.where(F.dayofmonth("scraped_at") % 2 == 0).withColumn("run", F.lit(2)).write.parquet(f"{path}/in/2")
+    schema = i.spark.read.parquet(f"{path}/in/1").schema
+    stream = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in/*")
     tracking.start_tracking(
-        stream, f"{path}/out", f"{path}/checkpoint", availableNow=True
+        stream, f"{path}/out", f"{path}/checkpoint", "run", fold_every=3, availableNow=True
     ).awaitTermination()
-    return tracking.latest_tracking(i.spark.read.parquet(f"{path}/out").drop("batch"))
+    return tracking.latest_tracking(tracking.tracking_rows(i.spark, f"{path}/out"))
+
+
+@register("t1_incremental_silver", (["silver"], f"SELECT {_SILVER} FROM silver"))
+def _(i):
+    """Silver jobs of the first days, then of the later days and one day again, each from the stored state."""
+    path = scratch_path(i.spark, "days")
+    bronze = i.jobs_bronze
+    days = [r[0] for r in bronze.select(F.date_format("scraped_at", "yyyy-MM-dd").alias("d")).distinct().orderBy("d").collect()]
+    half = days[: len(days) // 2] or days
+    early = F.date_format("scraped_at", "yyyy-MM-dd") <= half[-1]
+    writers.write_bronze(bronze.where(early), path)
+    incremental.update_state(i.spark, f"{path}/json", f"{path}/state", half)
+    writers.write_bronze(bronze.where(~early), path)
+    later = [d for d in days if d not in half]
+    incremental.update_state(i.spark, f"{path}/json", f"{path}/state", later)
+    return incremental.update_silver(i.spark, f"{path}/json", f"{path}/state", later[-1:], POSTINGS_AS_OF)
 
 
 # --- sources and sinks ---------------------------------------------------------

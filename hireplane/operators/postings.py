@@ -192,11 +192,12 @@ def _winners(bronze: DataFrame, conditions: dict[str, Column], columns: list[str
     """
     keyed = bronze.filter(F.col("job_id").isNotNull()).withColumn(_KEY, order_key(bronze.columns))
     tops = keyed.groupBy("job_id").agg(*[F.max(F.when(c, F.col(_KEY))).alias(f"_k_{name}") for name, c in conditions.items()], *more)
-    keys = tops.select("job_id", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_k_{n}" for n in conditions])))).alias(_KEY))
-    rows = keyed.select("job_id", _KEY, *columns).join(keys, ["job_id", _KEY])
+    keys = tops.select("*", F.explode_outer(F.array_distinct(F.array_compact(F.array(*[f"_k_{n}" for n in conditions])))).alias(_KEY))
+    rows = keyed.select("job_id", _KEY, F.struct(_KEY, *columns).alias("_row"))
+    # The winning keys take what else is known of the job along, so it is not computed again.
     # Sorting makes the choice among different rows with one key repeatable.
-    gathered = rows.groupBy("job_id").agg(F.sort_array(F.collect_set(F.struct(_KEY, *columns))).alias(_ROWS))
-    return tops.join(gathered, "job_id", "left")
+    met = keys.join(rows, ["job_id", _KEY], "left")
+    return met.groupBy(*tops.columns).agg(F.sort_array(F.collect_set("_row")).alias(_ROWS))
 
 
 def _won(name: str, column: str) -> Column:
@@ -234,6 +235,59 @@ def silver_jobs(bronze: DataFrame, as_of: datetime | str, active_days: int = K.A
     )
 
 
+# --- silver jobs kept up to date without old snapshots --------------------------
+
+_SEEN = ["first_seen", "last_seen", "times_seen"]
+
+
+def kept_columns(bronze: DataFrame) -> list[str]:
+    return [c for c in bronze.columns if c not in ("job_id", "scraped_at", "raw_json", "scrape_date")]
+
+
+def job_state(bronze: DataFrame) -> DataFrame:
+    """What silver jobs are made from: per job and column the last non-null value with its order key, and the tracking.
+
+    States of different snapshots merge to the state of all of them, so old
+    snapshots need not be read again.
+    """
+    kept = kept_columns(bronze)
+    found = _winners(
+        bronze, {c: F.col(c).isNotNull() for c in kept}, kept,
+        F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"), F.count("scraped_at").alias("times_seen"),
+    )
+
+    def told(c: str) -> Column:
+        return F.when(F.col(f"_k_{c}").isNotNull(), F.struct(F.col(f"_k_{c}").alias("key"), _won(c, c).alias("value"))).alias(c)
+
+    return found.select("job_id", *[told(c) for c in kept], *_SEEN)
+
+
+def merge_states(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The state of the snapshots behind ``a`` and ``b``, which must not overlap; the order of the two does not matter.
+
+    Each side has one row per job, so the join has no hot key.
+    """
+    kept = [c for c in a.columns if c not in ("job_id", *_SEEN)]
+    a, b = a.alias("a"), b.alias("b")
+    later = [F.greatest(f"a.{c}", f"b.{c}").alias(c) for c in kept]
+    times = (F.coalesce("a.times_seen", F.lit(0)) + F.coalesce("b.times_seen", F.lit(0))).alias("times_seen")
+    return a.join(b, "job_id", "full").select(
+        "job_id", *later, F.least("a.first_seen", "b.first_seen").alias("first_seen"),
+        F.greatest("a.last_seen", "b.last_seen").alias("last_seen"), times,
+    )
+
+
+def silver_from_state(state: DataFrame, as_of: datetime | str, active_days: int = K.ACTIVE_DAYS) -> DataFrame:
+    """The rows of ``silver_jobs`` over all snapshots of the state."""
+    kept = [c for c in state.columns if c not in ("job_id", *_SEEN)]
+    cutoff = dates.as_of_column(as_of) - F.expr(f"INTERVAL {int(active_days)} DAYS")
+    return (
+        state.select("job_id", *[F.col(c)["value"].alias(c) for c in kept], *_SEEN)
+        .withColumn("scraped_at", F.col("last_seen"))
+        .withColumn("is_active", F.coalesce(F.col("last_seen") >= cutoff, F.lit(False)))
+    )
+
+
 def join_tracking(latest: DataFrame, tracking: DataFrame) -> DataFrame:
     """The plain two-table form of the same result."""
     return latest.join(tracking, "job_id", "left")

@@ -57,6 +57,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """Names of the folders below ``path``, on whatever store it is; ``finished``: of those that hold a finished table."""
+    at, store = _path(spark, path)
+    if not store.exists(at):
+        return []
+    child = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [f.getPath() for f in store.listStatus(at) if f.isDirectory()]
+    return sorted(f.getName() for f in found if not finished or store.exists(child(f, "_SUCCESS")))
+
+
+def written_folders(spark: SparkSession, path: str) -> list[str]:
+    return folders(spark, path, finished=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at, store = _path(spark, path)
+    store.delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read from there, for tables that several passes read."""
     path = scratch_path(df.sparkSession, name)
