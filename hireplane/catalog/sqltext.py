@@ -56,7 +56,8 @@ def us_location(location: str) -> str:
 def page_text(html: str) -> str:
     blocks = "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "template"))
     out = f"regexp_replace(coalesce({html}, ''), '(?is){blocks}|<!--.*?-->|<![^>]*>|<\\?[^>]*>', chr(1), 'g')"
-    tag = "</?[A-Za-z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>|</?[A-Za-z][^>]*>"
+    value = "=+\\s*(?:\"[^\"]*\"|''[^'']*''|[^>\\s]*)(?:\\s*=)?"
+    tag = f"</?[A-Za-z](?:[^>=/]|/=?|{value})*>"
     out = f"regexp_replace({out}, '{tag}', chr(1), 'g')"
     out = f"regexp_replace({out}, '\\x01+', chr(10), 'g')"
     for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):

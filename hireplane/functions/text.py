@@ -18,6 +18,9 @@ WS_CHARS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# A tag: its name, then characters and values; each part is taken whole, so a search never goes back.
+# An equals sign behind a slash or a value begins a name.
+TAG = r"""</?[A-Za-z](?:[^>=/]++|/=?+|=++\s*+(?:"[^"]*+"|'[^']*+'|[^>\s]*+)(?:\s*+=)?+)*+>"""
 # Named entities decoded without leaving the JVM; "amp" has to come last.
 COMMON_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®",
@@ -93,15 +96,16 @@ def decode_entities(col: Column) -> Column:
 def text_nodes(raw: Column) -> Column:
     """Tags to newlines; script, style, comments, doctype and processing instructions dropped.
 
-    A quoted attribute value may hold ``>``. An unclosed script, style or
-    template ends with the text.
+    A quoted attribute value may hold ``>``; a quote opens a value only after
+    ``=``, anywhere else it is a character like others. An unclosed script,
+    style or template ends with the text.
     """
     mark = "\u0001"
     col = F.coalesce(raw, F.lit(""))
     col = F.regexp_replace(
         col, r"(?is)<(script|style|template)\b.*?(?:</\1\s*>|\z)|<!--.*?-->|<![^>]*>|<\?[^>]*>", mark
     )
-    col = F.regexp_replace(col, r"""</?[A-Za-z](?:[^>"']++|"[^"]*"|'[^']*')*+>|</?[A-Za-z][^>]*>""", mark)
+    col = F.regexp_replace(col, TAG, mark)
     return F.regexp_replace(col, f"{mark}+", "\n")
 
 
