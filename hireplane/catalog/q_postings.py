@@ -311,6 +311,20 @@ def _(i):
     return readers.read_bronze(i.spark, f"{path}/json")
 
 
+@register("s8_manifest_reading", (["jobs_bronze"], f"""
+    SELECT {_BRONZE}, raw_json FROM jobs_bronze WHERE scraped_at >= (
+      SELECT max(scraped_at) FROM jobs_bronze)::DATE - INTERVAL 9 DAY"""))
+def _(i):
+    """The postings of the last ten days, by way of the manifest; a stray folder beside them is not read."""
+    path = scratch_path(i.spark, "bronze")
+    bronze = i.jobs_bronze
+    writers.write_bronze(bronze, path)
+    writers.append_manifest(readers.read_bronze(i.spark, f"{path}/json"), path)
+    bronze.limit(1).select("job_id").write.text(f"{path}/json/scrape_date=2999-01-01")
+    since = bronze.agg(F.date_format(F.date_sub(F.max("scraped_at"), 9), "yyyy-MM-dd")).first()[0]
+    return readers.read_runs(i.spark, path, readers.manifest_runs(i.spark, path, since))
+
+
 @register("s4_silver_columns", (["silver"], "SELECT job_id, title, is_active FROM silver"))
 def _(i):
     path = scratch_path(i.spark, "silver")

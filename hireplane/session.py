@@ -77,6 +77,17 @@ def written_folders(spark: SparkSession, path: str) -> list[str]:
     return folders(spark, path, finished=True)
 
 
+def first_bytes(spark: SparkSession, file: str, n: int) -> bytes:
+    """Up to ``n`` bytes from the start of a file."""
+    at, store = _path(spark, file)
+    stream = store.open(at)
+    try:
+        found = [stream.read() for _ in range(n)]
+    finally:
+        stream.close()
+    return bytes(b for b in found if b >= 0)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     at, store = _path(spark, path)
     store.delete(at, True)

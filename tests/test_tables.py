@@ -180,6 +180,23 @@ def test_manifest_is_safe_to_repeat(spark, tmp_path):
     assert got == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 1, "2024-01-20": 1}
 
 
+def test_only_runs_of_the_manifest_are_read(spark, tmp_path):
+    path = str(tmp_path / "b")
+    writers.write_bronze(snapshots(spark).filter("job_id IS NOT NULL"), path)
+    bronze_rows = readers.read_bronze(spark, path + "/json")
+    writers.append_manifest(bronze_rows, path)
+    (tmp_path / "b" / "json" / "scrape_date=2024-01-02").mkdir()
+    (tmp_path / "b" / "json" / "scrape_date=2024-01-02" / "stray.json").write_text('{"job_id": "stray", "scraped_at": "2024-01-02T00:00:00Z"}')
+    (tmp_path / "b" / "json" / "scrape_date=2024-01-01" / "late.json").write_text('{"job_id": "late", "scraped_at": "2024-01-01T09:00:00Z"}')
+    read = lambda *days: readers.read_runs(spark, path, readers.manifest_runs(spark, path, *days))
+    assert sorted(r.job_id for r in read().collect()) == ["j1", "j1", "j2"]
+    some = read("2024-01-02", "2024-01-10")
+    assert [(r.job_id, r.location) for r in some.collect()] == [("j1", "NY")]
+    assert {f.split("/json/")[1][:22] for f in some.inputFiles() if "/json/" in f} == {"scrape_date=2024-01-03"}
+    none = read("2025-01-01")
+    assert none.count() == 0 and none.columns == S.JOBS_BRONZE_COLUMNS
+
+
 def test_company_lists(spark, tmp_path):
     rows = [dict(slug="a", display_name="A", ats="lever"), dict(slug="b", display_name="B", ats=None)]
     (tmp_path / "c.json").write_text(json.dumps(rows, indent=1))
