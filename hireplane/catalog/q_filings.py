@@ -11,6 +11,7 @@ from hireplane.catalog.bindings import FILINGS_AS_OF, Inputs
 from hireplane.catalog.registry import DERIVED, register, stored
 from hireplane.functions import dates, text
 from hireplane.operators import filings, resolve, serving
+from hireplane.operators.employer_index import EmployerIndex, write_index
 from hireplane.operators.filings import EMPLOYER
 from hireplane.session import scratch_path
 from hireplane.sources import readers, writers
@@ -403,16 +404,36 @@ def _(i):
     )
 
 
-@register("t3_employer_history", (["asked", "asked_hits", "history"], f"""
+_HISTORY_RESPONSE = (["asked", "asked_hits", "history"], f"""
     SELECT a.name, r.tier, r.{N}, h.company_name_raw,
       {', '.join(f'coalesce(h.{c}, 0) AS {c}' for c in filings.COUNT_COLUMNS)},
       round(h.perm_approval_rate, 6) AS perm_approval_rate, round(h.recent_approval_rate, 6) AS recent_approval_rate,
       h.trend_direction, h.data_freshness_score, h.perm_by_year, r.{N} IS NOT NULL AS found
-    FROM asked a LEFT JOIN asked_hits r USING (key) LEFT JOIN history h ON h.{N} = r.{N}"""))
+    FROM asked a LEFT JOIN asked_hits r USING (key) LEFT JOIN history h ON h.{N} = r.{N}""")
+
+
+@register("t3_employer_history", _HISTORY_RESPONSE)
 def _(i):
     return serving.employer_history(i.employer_names, history_table(i))
 
 
+def employer_index(i: Inputs) -> EmployerIndex:
+    path = scratch_path(i.spark, "employers")
+    write_index(history_table(i), path)
+    return EmployerIndex(i.spark, path)
+
+
+@register("t3_employer_index", _HISTORY_RESPONSE)
+def _(i):
+    return serving.employer_history_by_index(i.employer_names, employer_index(i))
+
+
+@register("j5_resolve_by_index", (["resolved"], f"SELECT key AS company_slug, tier, {N} FROM resolved"))
+def _(i):
+    keys = i.jobs_bronze.select(F.col("company_slug").alias("key"))
+    return employer_index(i).resolve(keys, True).withColumnRenamed("key", "company_slug")
+
+
 DERIVED["audit"] = (["companies", "history"], f"""
     SELECT slug, display_name, {N} IS NOT NULL AS found, {N}, coalesce(total_perm_certified, 0) AS certified,
       trend_direction, coalesce(data_freshness_score, 0.0) AS freshness FROM (

@@ -17,6 +17,8 @@ from hireplane.operators import scoring
 from hireplane.operators.filings import EMPLOYER
 
 ANCHOR = 5
+#: Keys of fewer characters are not looked for inside names.
+LEAST_CONTAINED = 5
 
 
 def _names(history: DataFrame) -> DataFrame:
@@ -25,44 +27,42 @@ def _names(history: DataFrame) -> DataFrame:
     return history.select(EMPLOYER, F.struct((-volume).alias("neg"), F.col(EMPLOYER)).alias("best"))
 
 
-def names_starting_with(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Best employer that is the key (tier 1) or starts with it (tier 2; the empty key included).
-
-    One pass over all name prefixes, reduced to one row per prefix before the join.
-    """
-    pieces = names.select(
+def start_rows(names: DataFrame) -> DataFrame:
+    """Per beginning of a name (the empty one and the whole name included) the best employer: tier 1 is the name itself, else 2."""
+    return names.select(
         EMPLOYER, "best", F.explode(F.sequence(F.lit(0), F.length(EMPLOYER))).alias("n")
     ).select(
         F.substring(F.col(EMPLOYER), F.lit(1), F.col("n")).alias("key"),
         F.struct(
             F.when(F.col("n") == F.length(EMPLOYER), 1).otherwise(2).alias("tier"), "best"
         ).alias("hit"),
-    )
-    return pieces.groupBy("key").agg(F.min("hit").alias("hit")).join(keys, "key", "left_semi")
+    ).groupBy("key").agg(F.min("hit").alias("hit"))
+
+
+def names_starting_with(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """Best employer that is the key (tier 1) or starts with it (tier 2; the empty key included).
+
+    One pass over all name prefixes, reduced to one row per prefix before the join.
+    """
+    return start_rows(names).join(keys, "key", "left_semi")
 
 
 def names_that_start(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Best employer whose name is a prefix of the key."""
-    pieces = keys.filter("key <> ''").select(
+    return key_starts(keys).join(names, EMPLOYER).groupBy("key").agg(F.min("best").alias("best"))
+
+
+def key_starts(keys: DataFrame) -> DataFrame:
+    """The beginnings of every key, under the name of the employer that they may be."""
+    return keys.filter("key <> ''").select(
         "key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n")
     ).select("key", F.substring(F.col("key"), F.lit(1), F.col("n")).alias(EMPLOYER))
-    return pieces.join(names, EMPLOYER).groupBy("key").agg(F.min("best").alias("best"))
 
 
-def names_containing(keys: DataFrame, names: DataFrame, shortest: int) -> DataFrame:
-    """Best employer whose name contains the key, for keys of ``shortest`` characters or more.
-
-    A key's first characters (its anchor) meet the same-sized pieces of the
-    names; a hit is then cut to the key's length and compared as a whole. The
-    join carries one row per distinct (anchor, length), not per key.
-    """
-    keys = keys.filter(F.length("key") >= shortest)
-    size = F.least(F.length("key"), F.lit(ANCHOR))
-    anchors = keys.select(
-        F.substring(F.col("key"), F.lit(1), size).alias("piece"), F.length("key").alias("n")
-    ).distinct()
+def piece_rows(names: DataFrame, shortest: int) -> DataFrame:
+    """The pieces of all names that are as long as an anchor, ``shortest`` to ``ANCHOR`` characters, with their place."""
     sizes = F.array(*[F.lit(s) for s in range(min(shortest, ANCHOR), ANCHOR + 1)])
-    pieces = (
+    return (
         names.select(EMPLOYER, "best", F.explode(sizes).alias("size"))
         .filter(F.length(EMPLOYER) >= F.col("size"))
         .select(
@@ -79,8 +79,19 @@ def names_containing(keys: DataFrame, names: DataFrame, shortest: int) -> DataFr
             F.substring(F.col(EMPLOYER), F.col("pos"), F.col("size")).alias("piece"),
         )
     )
+
+
+def key_anchors(keys: DataFrame) -> DataFrame:
+    """The distinct (first characters, length) of the keys."""
+    size = F.least(F.length("key"), F.lit(ANCHOR))
+    return keys.select(
+        F.substring(F.col("key"), F.lit(1), size).alias("piece"), F.length("key").alias("n")
+    ).distinct()
+
+
+def best_containing(keys: DataFrame, pieces: DataFrame) -> DataFrame:
     return (
-        pieces.join(anchors, "piece")
+        pieces.join(key_anchors(keys), "piece")
         .filter(F.col("pos") + F.col("n") - 1 <= F.length(EMPLOYER))
         .select(F.substring(F.col(EMPLOYER), F.col("pos"), F.col("n")).alias("key"), "best")
         .groupBy("key").agg(F.min("best").alias("best"))
@@ -88,17 +99,18 @@ def names_containing(keys: DataFrame, names: DataFrame, shortest: int) -> DataFr
     )
 
 
-def resolve_names(keys: DataFrame, history: DataFrame, both_directions: bool) -> DataFrame:
-    """Per key the first tier that hits: 1 exact, 2 prefix, 3 contained (more than 4 characters).
+def names_containing(keys: DataFrame, names: DataFrame, shortest: int) -> DataFrame:
+    """Best employer whose name contains the key, for keys of ``shortest`` characters or more.
 
-    Within a tier the employer with most certifications wins, then the name.
+    A key's first characters (its anchor) meet the same-sized pieces of the
+    names; a hit is then cut to the key's length and compared as a whole. The
+    join carries one row per distinct (anchor, length), not per key.
     """
-    keys = keys.select("key").filter("key IS NOT NULL").distinct()
-    names = _names(history)
-    hits = names_starting_with(keys, names)
-    tiered = {3: names_containing(keys, names, 5)}
-    if both_directions:
-        tiered[2] = names_that_start(keys, names)
+    return best_containing(keys.filter(F.length("key") >= shortest), piece_rows(names, shortest))
+
+
+def first_tier(hits: DataFrame, tiered: dict[int, DataFrame]) -> DataFrame:
+    """Per key the best of ``hits`` and of the employers found in further tiers."""
     for tier, found in tiered.items():
         hits = hits.unionByName(
             found.select("key", F.struct(F.lit(tier).alias("tier"), "best").alias("hit"))
@@ -110,15 +122,32 @@ def resolve_names(keys: DataFrame, history: DataFrame, both_directions: bool) ->
     )
 
 
+def resolve_names(keys: DataFrame, history: DataFrame, both_directions: bool) -> DataFrame:
+    """Per key the first tier that hits: 1 exact, 2 prefix, 3 contained (more than 4 characters).
+
+    Within a tier the employer with most certifications wins, then the name.
+    """
+    keys = keys.select("key").filter("key IS NOT NULL").distinct()
+    names = _names(history)
+    tiered = {3: names_containing(keys, names, LEAST_CONTAINED)}
+    if both_directions:
+        tiered[2] = names_that_start(keys, names)
+    return first_tier(names_starting_with(keys, names), tiered)
+
+
 def resolve_slugs(slugs: DataFrame, history: DataFrame) -> DataFrame:
     """Scoring variant: the slug as it stands, prefixes in both directions."""
     keys = slugs.select(F.col("company_slug").alias("key"))
     return resolve_names(keys, history, True).withColumnRenamed("key", "company_slug")
 
 
+def asked_names(queries: DataFrame) -> DataFrame:
+    return queries.select("name", text.normalize_company(F.col("name")).alias("key")).distinct()
+
+
 def resolve_queries(queries: DataFrame, history: DataFrame) -> DataFrame:
     """Query variant: ``name`` is normalised first and prefixes go one way."""
-    asked = queries.select("name", text.normalize_company(F.col("name")).alias("key")).distinct()
+    asked = asked_names(queries)
     return asked.join(resolve_names(asked, history, False), "key", "left")
 
 
