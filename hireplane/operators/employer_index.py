@@ -35,7 +35,7 @@ def write_index(history: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     for (name, key), rows in tables.items():
         # A piece that very many names share makes a large folder; rebalancing splits it over tasks and files.
         dealt = rows.withColumn("bucket", _bucket(key, buckets)).hint("rebalance", "bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{_OF}{buckets}/{name}")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{_OF}{buckets}/{name}")
         # The columns, for a history without rows too.
         dealt.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{_OF}{buckets}/columns/{name}")
 

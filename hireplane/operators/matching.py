@@ -37,7 +37,7 @@ SCORES = (
 )
 
 
-TERMS_PER_SCAN = 2000
+TERMS_PER_SCAN = 5000
 JOBS_PER_BLOCK = 200_000
 
 

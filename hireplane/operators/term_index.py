@@ -1,7 +1,7 @@
 """Which of very many terms a text contains, by an index of the terms' first characters.
 
 A term is filed under its first characters, as many as the longest of
-``KEY_LENGTHS`` that it has, so at least two thirds of it. A text is read once:
+``KEY_LENGTHS`` that it has, half of it or more up to twice the last. A text is read once:
 every place gives a short window of the text, cut from there, and the window's
 beginnings are looked up in the index, which is broadcast in blocks of a bounded
 number of terms. What meets a key is verified by comparing the whole term with
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hireplane.functions import text
 
-KEY_LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+KEY_LENGTHS = (1, 2, 3, 4, 8, 16, 32)
 #: Terms up to this length are found by window; longer ones are searched one by one.
 MOST_WINDOW = 96
 #: Terms per broadcast: at most about 150 MB.
@@ -51,7 +51,8 @@ def term_index(terms: DataFrame, term_col: str = "term") -> DataFrame:
 
 def _by_window(texts: DataFrame, index: DataFrame, lengths: list[int], width: int) -> DataFrame:
     at = texts.select("id", F.explode(windows(F.col("body"), width)).alias("window"))
-    keys = F.array_distinct(F.array(*[F.left("window", F.lit(n)) for n in lengths]))
+    # At the end of a text keys of several lengths are the same; pairs are made distinct in the end.
+    keys = F.array(*[F.left("window", F.lit(n)) for n in lengths])
     return (
         at.select("id", "window", F.explode(keys).alias("key"))
         .join(F.broadcast(index), "key")
