@@ -274,9 +274,9 @@ def _(i):
     rows.withColumn("run", F.lit(1)).write.parquet(f"{path}/in/1")
     rows.where(F.dayofmonth("scraped_at") % 2 == 0).withColumn("run", F.lit(2)).write.parquet(f"{path}/in/2")
     schema = i.spark.read.parquet(f"{path}/in/1").schema
-    stream = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in/*")
+    stream = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 32).parquet(f"{path}/in/*")
     tracking.start_tracking(
-        stream, f"{path}/out", f"{path}/checkpoint", "run", fold_every=3, availableNow=True
+        stream, f"{path}/out", f"{path}/checkpoint", "run", fold_every=2, availableNow=True
     ).awaitTermination()
     return tracking.latest_tracking(tracking.tracking_rows(i.spark, f"{path}/out"))
 
