@@ -257,10 +257,14 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     A document whose hit words exceed the coverage limit goes as a whole; what
     is below the limit is no contamination and its text stays as it is. Hits
-    and texts meet by id, so ids have to be unique.
+    and texts meet by id and a hash of the text, so rows that share an id, or
+    have none, are judged each by its own text.
     """
-    bad = hits(docs, items, id_col, text_col, item_id, window).where("contaminated").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    digest = F.xxhash64(docs[text_col])
+    rows = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("key"), docs[text_col].alias("text"))
+    bad = hits(rows, items, "key", "text", item_id, window).where("contaminated")
+    bad = bad.select(F.col("key")["id"].alias("_id"), F.col("key")["digest"].alias("_digest"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (digest == bad["_digest"]), "left_anti")
 
 
 def cut(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:

@@ -215,12 +215,24 @@ def one_row_per_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.join(many, repeats, "left_anti").unionAll(least.select("_row.*"))
 
 
+def _kept(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    docs = one_row_per_id(docs, id_col)
+    first = classes(docs, id_col, text_col, **options).select(F.col("component_id").alias("_keep")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(first["_keep"]), "left_semi")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, that with the least id, with all its columns.
 
     Rows that repeat an id are one document: the first of them in hash order of the whole row, before classes are formed.
+    Rows without an id are documents of their own, told apart by a hash of the whole row; they come after all ids.
     """
-    docs = one_row_per_id(docs, id_col)
-    first = classes(docs, id_col, text_col, **options).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["_keep"]), "left_semi")
-    return kept
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        return _kept(docs, id_col, text_col, **options)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = "_key"
+    while key in docs.columns:
+        key = "_" + key
+    unnamed = F.col(id_col).isNull()
+    told = F.struct(unnamed.alias("unnamed"), F.col(id_col).alias("id"), F.when(unnamed, F.xxhash64(*columns)).alias("digest"))
+    return _kept(docs.withColumn(key, told), key, text_col, **options).select(*columns)

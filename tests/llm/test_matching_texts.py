@@ -138,6 +138,25 @@ def test_representatives(docs, awkward, empty, clashing):
     assert simhash.representatives(docs.unionAll(docs)).select("doc_id").distinct().count() == len(want)
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark, docs):
+    dirty, clean = prose(61, 40), [prose(62, 40), prose(63, 40)]
+    rows = [(None, dirty), (None, clean[0]), (None, None), (7, dirty), (7, clean[1]), (8, clean[0])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema).withColumns({c: F.lit("mine") for c in ("key", "digest", "_id")})
+    items = spark.createDataFrame([(1, dirty[:150])], "item_id bigint, text string")
+    got = [(r.doc_id, r.text) for r in decontamination.clean(df, items).collect()]
+    assert sorted(got, key=str) == sorted([(None, clean[0]), (None, None), (7, clean[1]), (8, clean[0])], key=str)
+
+
+def test_documents_without_an_id_are_kept(spark, docs, awkward):
+    """Different texts all stay, copies of a document with an id go, copies of each other leave one."""
+    copy = next(t for i, t in awkward if i == 14)
+    more = [prose(51, 80), prose(52, 80), prose(53, 80), prose(53, 80), copy]
+    unnamed = spark.createDataFrame([(None, t, "en", "s", len(t)) for t in more], docs.schema)
+    kept = [(r.doc_id, r.text) for r in simhash.representatives(docs.unionAll(unnamed)).collect()]
+    alone = [(r.doc_id, r.text) for r in simhash.representatives(docs).collect()]
+    assert sorted(kept, key=str) == sorted([*alone, *[(None, t) for t in dict.fromkeys(more[:4])]], key=str)
+
+
 def test_representatives_of_repeated_rows(docs, awkward, empty):
     from pyspark.sql import functions as F
 
