@@ -6,30 +6,40 @@ become one repeated group. Streams of a host are then aligned one after the
 other with the wrapper so far: equal tokens stay, texts that differ become open
 slots, tokens that only one side has become optional groups, and an optional
 group like the one before it makes that one repeated. All pages take part:
-every task folds its pages to one wrapper per host, and those are aligned in
-two steps (host and salt, then host), so no host's pages meet in one task.
-
-The wrapper's slots are judged once per host. A slot counts its pages, those
-that fill it inside an article (``article``, ``main`` or their roles), and keeps
-its text while all of them agree; text in navigation, page headers, footers,
-asides, forms, notices, adverts and comments, known by tag, role, class or id,
-has slots of its own. Each page is matched with its host's wrapper and its blocks
-are read by their slots: those of a slot that most of its pages have in the
-article are main text, also on a page that marks no article. What a page itself
-marks as article or as one of the others stays that. Pages without main text keep
-their other blocks, without link blocks and without fixed slots: neither optional nor repeated,
-with one text on all of at least ``ALIKE`` pages. A host on which nothing
-varies has no fixed slots. Blocks without a slot are judged by their page alone.
+streams of one structure are added up first, in the tasks and after a shuffle by
+host and structure; the different ones are aligned in the order of their
+digests in two steps (host and salt, then host). So no host's pages meet in one
+task, and the wrapper does not depend on the order or the files of the pages.
+
+Marks are votes of a slot. A slot counts its pages, those that fill it inside an
+article (``article``, ``main`` or their roles), those that fill it in navigation,
+page headers, footers, asides, forms, notices, adverts and comments, known by
+tag, role, class or id (whole names, and compounds of known words only), and
+those that fill it with link text; it keeps its text while all pages agree. A
+slot is main if no more pages fill it beside their article than in it (pages that
+mark no article do not vote on this), and dropped if at least half of its pages
+say so. Slots of unlike marks are aligned only where nothing of their own kind
+fits, and those of an article never with dropped ones.
+
+Each page is matched with its host's wrapper and all its blocks are read by
+their slots. A block that finds none goes the way that most of the host's blocks
+with its mark go. Pages without main text keep their other blocks, without
+slots of link text and without fixed slots: neither optional nor repeated, with
+one text on all of at least ``ALIKE`` pages. A host on which nothing varies has
+no fixed slots.
 
 Blocks keep the page's order, one per line; references are decoded, runs of
-white space are one blank. Null or empty html gives an empty text; so do pages
+white space are one blank. Formulas are text. A quote opens an attribute value
+only after an equals sign. Null or empty html gives an empty text; so do pages
 without kept text. Null urls form one host. Repeated pages are separate rows.
 Unclosed tags end with the block or container around them, unclosed comments
-and scripts with the page.
+and scripts with the page. Beyond ``ALIGN_CELLS`` an alignment is cut at keys that
+both streams have once, so it may match fewer tokens; what it leaves goes by marks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import json
 import re
@@ -53,12 +63,16 @@ BROADCAST_CHARS = 16_000_000
 ALIGN_CELLS = 1 << 18
 ALIGN_PART = 256
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Attributes up to the end of a tag: a quote opens a value only after an equals sign.
+ATTRIBUTES = r"""(?:[^>=/]++|/=?+|=++\s*+(?:"[^"]*+"|'[^']*+'|[^>\s]*+)(?:\s*+=)?+)*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "object", "math", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "object", "canvas", "annotation", "annotation-xml"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup",
+    "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mpadded", "mphantom",
 }
 CONTAINERS = {
     "html", "head", "body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "ul", "ol", "dl", "table",
@@ -73,6 +87,13 @@ DROPPED_WORDS = {
     "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar",
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that may stand beside a dropped word in one class or id; with any other word the name is not a mark.
+BESIDE = {
+    "area", "article", "articles", "author", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container",
+    "content", "fixed", "form", "global", "group", "heading", "icons", "inner", "item", "items", "left", "link", "links", "list", "main",
+    "media", "mobile", "news", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "site",
+    "slot", "sticky", "stories", "story", "text", "title", "top", "unit", "user", "wrap", "wrapper", "zone",
+}
 
 
 @lru_cache(maxsize=100_000)
@@ -82,9 +103,13 @@ def _name(token: str) -> str:
 
 @lru_cache(maxsize=100_000)
 def _role(token: str) -> str:
-    """What an element is by its token (tag, words of class and id, role): main, header, dropped or empty."""
+    """What an element is by its token (tag, names of class and id, role): main, header, dropped or empty."""
     name, (marks, _, role) = _name(token), token.partition("@")
-    words = set(marks.split(".")[1:])
+    words: set[str] = set()
+    for mark in marks.split(".")[1:]:
+        parts = set(mark.split("-"))
+        if parts <= DROPPED_WORDS | BESIDE | {"header"}:
+            words |= parts
     if name in ("html", "body"):
         return ""
     if name in MAIN_TAGS or role in MAIN_TAGS:
@@ -121,15 +146,19 @@ def judged(path: tuple[str, ...]) -> str:
 
 
 class Page:
-    """Blocks (text, path of containers, share of link text) and token stream of one page."""
+    """Blocks (text, mark) and token stream of one page; marks are main, dropped, beside (an article) and other (no article)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[str, ...], float]] = []
+        self.blocks: list[tuple[str, str]] = []
         self.tokens: list[list] = []
         self._stack: list[str] = []
         self._text: list[str] = []
         self._linked, self._in_link = 0, 0
         self._read(source)
+        if any(mark == "main" for _, mark in self.blocks):
+            self.blocks = [(text, "beside" if mark == "other" else mark) for text, mark in self.blocks]
+            for token, (_, mark) in zip((t for t in self.tokens if t[0] == "#"), self.blocks):
+                token[5] = int(mark == "beside")
 
     def _flush(self) -> None:
         raw = "".join(self._text)
@@ -138,15 +167,15 @@ class Page:
         text = " ".join(html_module.unescape(raw).split())
         if text:
             path = tuple(self._stack)
-            kind = judged(path)
-            self.tokens.append(["#", checksum(text), 1, int(kind == "main"), int(kind == "dropped")])
-            self.blocks.append((text, path, linked / len(raw)))
+            mark = judged(path)
+            self.tokens.append(["#", checksum(text), 1, int(mark == "main"), int(mark == "dropped"), 0, int(linked >= 0.8 * len(raw))])
+            self.blocks.append((text, mark))
 
     def _open(self, name: str, attributes: str) -> None:
         self._flush()
         marks = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
-        words = sorted({w for w in re.split(r"[^a-z]+", f"{marks.get('class', '')} {marks.get('id', '')}") if w})
-        token = name + "".join("." + w for w in words) + ("@" + marks["role"] if marks.get("role") else "")
+        names = sorted({"-".join(re.findall("[a-z]+", w)) for w in f"{marks.get('class', '')} {marks.get('id', '')}".split()} - {""})
+        token = name + "".join("." + w for w in names) + ("@" + marks["role"] if marks.get("role") else "")
         self.tokens.append(["t", token])
         step(self._stack, token)
 
@@ -193,13 +222,17 @@ def checksum(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-# A wrapper is a list of items: ["t", tag], ["g", repeated, optional, items] and slots
-# ["#", checksum of the text or null if it varies, times filled, times in the article, 1 if dropped, numbers of a page's blocks].
+# A wrapper is a list of items: ["t", tag], ["g", repeated, optional, items] and slots ["#", checksum of the text or null if it
+# varies, times filled, times in the article, dropped, beside the article, link text, numbers of a page's blocks].
 # The last is there while a page is matched only.
 
 
 def _slot(item: list) -> str:
-    return "#-" if len(item) > 4 and item[4] else "#"
+    """Key of a slot by its votes: main, dropped or neither."""
+    if len(item) < 6:
+        return "#"
+    n, n_main, n_dropped, n_beside = item[2:6]
+    return "#+" if n_main and n_main >= n_beside else "#-" if n_dropped and 2 * n_dropped >= n else "#"
 
 
 def shape(items: list) -> tuple:
@@ -250,14 +283,23 @@ def _key(item: list) -> str:
     return item[1] if item[0] == "t" else _slot(item) if item[0] == "#" else "(" + (_key(item[3][0]) if item[3] else "")
 
 
+def _merged(a: list, b: list) -> list:
+    """One slot for two: votes add up, the text stays while it is the same."""
+    return ["#", a[1] if a[1] == b[1] else None, *(x + y for x, y in zip(a[2:], b[2:]))]
+
+
 def _both(a: list, b: list) -> list:
     """One item for two with the same key."""
     if a[0] == "t":
         return a
-    if a[0] == "#":
-        text = a[1] if a[1] == b[1] else None
-        return ["#", text, a[2] + b[2], a[3] + b[3], a[4], *([a[5] + b[5]] if len(a) > 5 else [])] if len(a) > 4 else ["#", text]
-    return ["g", a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+    return _merged(a, b) if a[0] == "#" else ["g", a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+
+
+def added(a: list, b: list) -> list:
+    """One stream for two of the same shape, in whatever order they come."""
+    return [
+        x if x[0] == "t" else _merged(x, y) if x[0] == "#" else ["g", x[1], x[2] or y[2], added(x[3], y[3])] for x, y in zip(a, b)
+    ]
 
 
 def _longest_common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
@@ -303,13 +345,30 @@ def _anchors(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
 
 
 def matched(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a common subsequence of the items' keys, in order.
+    """Places of a common subsequence of the items' keys, in order; in the gaps, slots without a mark fit any slot."""
+    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+    pairs = _common(ka, kb)
+    gaps = []
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        if i < x and j < y:
+            # Marked slots meet slots without a mark, not each other: each mark in turn is read as none.
+            for mark in ("+", "-"):
+                left, right = ([k.replace("#" + mark, "#") for k in keys] for keys in (ka[i:x], kb[j:y]))
+                if (left, right) != (ka[i:x], kb[j:y]) and (more := _common(left, right)):
+                    gaps += [(i + p, j + q) for p, q in more]
+                    break
+        i, j = x + 1, y + 1
+    return sorted(pairs + gaps)
+
+
+def _common(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two lists of keys, in order.
 
     It is a longest one up to ``ALIGN_CELLS``. Longer streams are first cut at
     keys that both have once, or else into as many even parts, so that time
     stays near the length of the page.
     """
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     pairs: list[tuple[int, int]] = []
     todo = [(0, len(ka), 0, len(kb))]
     while todo:
@@ -367,6 +426,7 @@ class Slots:
 
     def __init__(self, wrapper: list, n_pages: int):
         self._n, self._kinds = n_pages, set()
+        self._usual: dict[str, Counter] = {mark: Counter() for mark in ("main", "dropped", "beside", "other")}
         self._items = self._judge(wrapper, False, False)
         self._varies = bool(self._kinds & {"main", "other"})
 
@@ -378,15 +438,23 @@ class Slots:
                 inner = self._judge(item[3], repeated or item[1], optional or item[2])
                 out += [["g", item[1], item[2], inner]] if item[1] else inner
             elif item[0] == "#":
-                _, text, n, n_main, dropped = item
+                _, text, n, n_main, n_dropped, n_beside, n_links = item
                 alike = text is not None and not (repeated or optional) and n == self._n >= ALIKE
-                kind = "dropped" if dropped else "main" if 2 * n_main > n else "fixed" if alike else "other"
+                kind = {"#+": "main", "#-": "dropped"}.get(_slot(item)) or ("links" if 2 * n_links > n else "fixed" if alike else "other")
                 self._kinds.add(kind)
+                n_other = n - n_main - n_dropped - n_beside
+                for mark, votes in (("main", n_main), ("dropped", n_dropped), ("beside", n_beside), ("other", n_other)):
+                    self._usual[mark][kind] += votes
                 out.append([*item, kind])
             else:
                 out.append(item)
         return out
 
+    def usual(self, mark: str) -> str:
+        """The kind that most of the host's blocks with this mark have; without any, no kind of its own."""
+        votes = {kind: n for kind, n in self._usual[mark].items() if n and kind != "fixed"}
+        return max(sorted(votes), key=votes.__getitem__) if votes else "other"
+
     def of(self, page: Page) -> dict[int, str]:
         """Kind of each block of a page that has a slot in the wrapper, by its number."""
         numbers = iter(range(len(page.blocks)))
@@ -405,65 +473,73 @@ class Slots:
                 if ours[x][0] == "g":
                     self._match(ours[x][3], theirs[y][3], found)
                 elif ours[x][0] == "#":
-                    found.update(dict.fromkeys(theirs[y][5], ours[x][-1]))
+                    found.update(dict.fromkeys(theirs[y][-1], ours[x][-1]))
             i, j = x + 1, y + 1
 
 
 def main_text(page: Page, slots: Slots) -> str:
-    """Text of a page's main slots, one block per line; the page's own marks come before its slots, which decide on all other blocks."""
-    kinds = [judged(path) for _, path, _ in page.blocks]
-    if "other" in kinds:
-        found = slots.of(page)
-        kinds = [found.get(k, "other") if kind == "other" else kind for k, kind in enumerate(kinds)]
-    if "main" in kinds:
-        return "\n".join(text for (text, _, _), kind in zip(page.blocks, kinds) if kind == "main")
-    return "\n".join(text for (text, _, linked), kind in zip(page.blocks, kinds) if kind == "other" and linked < 0.8)
+    """Text of a page's main slots, one block per line; without any, that of its other slots."""
+    found = slots.of(page)
+    kinds = [found.get(k) or slots.usual(mark) for k, (_, mark) in enumerate(page.blocks)]
+    wanted = "main" if "main" in kinds else "other"
+    return "\n".join(text for (text, _), kind in zip(page.blocks, kinds) if kind == wanted)
 
 
-PARTIAL = "host string, salt int, n bigint, wrapper string"
+PARTIAL = "host string, salt int, digest string, n bigint, wrapper string"
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
-    host, salt, n, wrapper = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+    host, salt, digest, n, wrapper = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
     return pa.RecordBatch.from_arrays(
-        [pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(n, pa.int64()), pa.array(wrapper, pa.string())],
-        names=["host", "salt", "n", "wrapper"],
+        [pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(digest, pa.string()), pa.array(n, pa.int64()), pa.array(wrapper, pa.string())],
+        names=["host", "salt", "digest", "n", "wrapper"],
     )
 
 
 def _fold_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host of each batch of pages."""
-    for number, piece in enumerate(B.pieces(batches, "html", 8 << 20)):
-        known: dict[str, tuple[int, list]] = {}
+    """Per batch of pages, host and structure: the streams of that structure added up."""
+    for piece in B.pieces(batches, "html", 8 << 20):
+        known: dict[tuple[str, str], tuple[int, list]] = {}
         for host, source in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
             stream = fold_repeats(Page(source or "").tokens)
-            n, wrapper = known.get(host, (0, None))
-            known[host] = n + 1, stream if wrapper is None else align(wrapper, stream)
-        yield _pack([(h, (zlib.crc32(json.dumps(w).encode()) + number) % SALTS, n, json.dumps(w)) for h, (n, w) in known.items()])
+            key = host, hashlib.md5(json.dumps(shape(stream)).encode()).hexdigest()
+            n, so_far = known.get(key, (0, None))
+            known[key] = n + 1, stream if so_far is None else added(so_far, stream)
+        yield _pack([(h, int(d[:8], 16) % SALTS, d, n, json.dumps(w)) for (h, d), (n, w) in known.items()])
 
 
 def _fold_wrappers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and salt to one row for each."""
+    """Rows sorted by host, salt and digest to one row for each host and salt: equal structures added up, the others aligned."""
     key, n, wrapper = None, 0, None
+    digest, stream = None, None
+
+    def grown() -> list:
+        return stream if wrapper is None else align(wrapper, stream)
+
     for batch in batches:
         done = []
         for row in batch.to_pylist():
-            this = row["host"], row["salt"]
-            if wrapper is not None and this != key:
-                done.append((*key, n, json.dumps(wrapper)))
-                n, wrapper = 0, None
-            key, n = this, n + row["n"]
-            wrapper = json.loads(row["wrapper"]) if wrapper is None else align(wrapper, json.loads(row["wrapper"]))
+            this, new = (row["host"], row["salt"]), json.loads(row["wrapper"])
+            if this == key and row["digest"] == digest:
+                stream, n = added(stream, new), n + row["n"]
+                continue
+            if key is not None:
+                wrapper = grown()
+                if this != key:
+                    done.append((*key, "", n, json.dumps(wrapper)))
+                    n, wrapper = 0, None
+            key, digest, stream, n = this, row["digest"], new, n + row["n"]
         yield _pack(done)
-    if wrapper is not None:
-        yield _pack([(*key, n, json.dumps(wrapper))])
+    if key is not None:
+        yield _pack([(*key, "", n, json.dumps(grown()))])
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """host, n (pages), wrapper from all rows of (host, html)."""
     partial = pages.mapInArrow(_fold_pages, PARTIAL)
-    salted = partial.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_fold_wrappers, PARTIAL)
-    whole = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold_wrappers, PARTIAL)
+    salted = partial.repartition("host", "salt").sortWithinPartitions("host", "salt", "digest").mapInArrow(_fold_wrappers, PARTIAL)
+    steps = salted.select("host", F.lit(0).alias("salt"), F.format_string("%02d", "salt").alias("digest"), "n", "wrapper")
+    whole = steps.repartition("host").sortWithinPartitions("host", "digest").mapInArrow(_fold_wrappers, PARTIAL)
     return whole.select("host", "n", "wrapper")
 
 

@@ -147,7 +147,46 @@ def test_the_wrapper_decides_on_a_page_without_article(spark):
     assert wrappers.main_text(last, wrappers.Slots([], 4)) == got[9]
     marked = wrappers.Page("<body><article><p>t</article><section><p>more</section></body>")
     both = wrappers.Slots(wrappers.fold_repeats(wrappers.Page("<body><article><p>t</article><article><section><p>more</section></article></body>").tokens), 1)
-    assert wrappers.main_text(marked, wrappers.Slots([], 1)) == "t" and wrappers.main_text(marked, both) == "t\nmore"
+    assert wrappers.main_text(marked, both) == "t\nmore"
+    alone = wrappers.Slots(wrappers.fold_repeats(marked.tokens), 1)
+    assert wrappers.main_text(marked, alone) == "t" and wrappers.main_text(marked, wrappers.Slots([], 1)) == "t\nmore"
+
+
+def test_an_empty_wrapper_gives_other_texts_than_the_inferred_one(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    none = {r["page_id"]: wrappers.main_text(wrappers.Page(r["html"]), wrappers.Slots([], 1)) for r in pages.collect()}
+    assert all(got[k] and got[k] != none[k] for k in got)
+
+
+def test_article_text_is_not_lost(spark):
+    body = (
+        "<p class='ad-hoc'>ad hoc</p><p class='social-science'>science</p><p id='notice-period'>period</p><p>E = <math><mi>m</mi><mo>&sup2;</mo></math> holds</p>"
+        "<p title='it's'>one</p><p>two's</p><p><a href=x>all link</a></p><p class='cookie-notice'>cookies</p><div id='ad-slot-3'>buy</div>"
+    )
+    want = "Head {n}\nad hoc\nscience\nperiod\nE = m² holds\none\ntwo's\nall link"
+    got = text_of(spark, [(n, f"http://l.example/{n}", PAGE.format(n=n, body=body, links="")) for n in range(4)])
+    assert got == {n: want.format(n=n) for n in range(4)}
+    unmarked = "<body><div>Site</div><ul><li><a href=a>Menu</a></ul><div class=x><h1>{}</h1>{}</div></body>"
+    pages = [unmarked.format(f"t{n}", f"<p>{'<a href=x>' * (n == 2)}p{n}</a></p>") for n in range(5)]
+    assert text_of(spark, list(zip(range(5), ["http://u.example/"] * 5, pages))) == {n: f"t{n}\np{n}" for n in range(5)}
+
+
+def test_the_order_of_the_pages_changes_nothing(spark):
+    import random
+
+    rng = random.Random(11)
+    parts = ["<p>{}</p>", "<div class='promo'>{}</div>", "<ul><li>{}</li><li>x</li></ul>", "<h2>{}</h2>", "<section><p>{}</p></section>", "<div><a href=y>{}</a></div>"]
+    rows = []
+    for host in range(20):
+        for _ in range(6):
+            inside, before, after = ("".join(rng.choice(parts).format(rng.randrange(9)) for _ in range(rng.randrange(5))) for _ in range(3))
+            frame = "<article>{}</article>" if rng.random() < 0.7 else "<section>{}</section>"
+            rows.append((len(rows), f"http://h{host}.example/", f"<body>{before}{frame.format(inside)}{after}</body>"))
+    want = text_of(spark, rows)
+    for _ in range(2):
+        rng.shuffle(rows)
+        assert text_of(spark, rows) == want
 
 
 def test_blocks_of_one_page_alone_stay(spark):
