@@ -6,14 +6,18 @@ the end of the next. As ``NODE + 2 * SPAN = WINDOW`` the spans inside a window
 of 50 words choose at least two nodes, so it holds an edge, and equal windows
 hold equal edges.
 
-An aggregation by edge finds those of several documents, their least document,
-and whether they have one successor and one predecessor only. Joined back to
-their places, edges that follow each other without a branch compact into paths.
-All occurrences of a path are alike from end to end, so the least document of
-its edges has all its windows, and every window inside a path is judged by that.
-Windows that cross a branch or stick out of a path, but hold repeated edges
-only, are verified at their source coordinates: by 128 bits of hash of their 50
-words, joined over all documents. Nothing is judged by edges alone.
+An aggregation by edge finds those of several documents, and whether they have
+one successor and one predecessor only. Joined back to their places, edges that
+follow each other without a branch compact into paths. All occurrences of a path
+are alike from end to end, so what holds a path holds all its windows. Spans are
+verified at their source coordinates, by 128 bits of hash of their words joined
+over all documents: each path of 50 words or more as a whole, and each window of
+50 words that crosses a branch or sticks out of a path but holds repeated edges
+only. Edges only say which spans are verified; none goes by them alone.
+
+An edge that very many documents share has one row in the aggregation, and its
+places meet that row in a join of two plain shuffles, which adaptive execution
+splits where a key is crowded.
 
 A word goes if some window over it also starts in a document with a smaller id.
 Null texts and texts of fewer than 50 words lose nothing. Documents with a null
@@ -93,23 +97,26 @@ def graph_edges(docs: DataFrame) -> DataFrame:
 
 
 def paths(docs: DataFrame) -> DataFrame:
-    """id, start, stop (words), least: compacted runs of edges that several documents hold."""
+    """id, start, stop (words): compacted runs of edges that several documents hold."""
     edges = graph_edges(docs)
-    repeated = edges.groupBy("edge").agg(
+    found = edges.groupBy("edge").agg(
         F.min("id").alias("least"), F.max("id").alias("most"),
         F.min("after").alias("a0"), F.max("after").alias("a1"), F.min("before").alias("b0"), F.max("before").alias("b1"),
-    ).where("least < most").select("edge", "least", F.expr("a0 = a1").alias("one_after"), F.expr("b0 = b1").alias("one_before"))
-    places = edges.select("edge", "id", "pos", "size").join(repeated, "edge")
+    ).where("least < most")
+    # Joined by another form of the edge: the aggregation and the join are then two stages, and the join alone can be split.
+    key = F.bitwise_not("edge").alias("key")
+    repeated = found.select(key, F.expr("a0 = a1").alias("one_after"), F.expr("b0 = b1").alias("one_before"))
+    places = edges.select(key, "id", "pos", "size").join(repeated, "key")
     by_doc = Window.partitionBy("id").orderBy("pos", "size")
     follows = (F.lag(F.col("pos") + F.col("size") - NODE).over(by_doc) == F.col("pos")) & F.lag("one_after").over(by_doc) & F.col("one_before")
     runs = places.withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("_new").over(by_doc))
     return runs.groupBy("id", "path").agg(
-        F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("stop"), F.max("least").alias("least"),
-    ).select("id", "start", "stop", "least")
+        F.min("pos").alias("start"), F.max(F.col("pos") + F.col("size")).alias("stop"),
+    ).select("id", "start", "stop")
 
 
-def _open_windows(pairs: DataFrame) -> DataFrame:
-    """id, pos and two hashes of the windows that hold repeated edges only and are inside no path."""
+def _spans(pairs: DataFrame) -> DataFrame:
+    """id, start, stop and two hashes of the paths of a window or more, and of the windows that hold repeated edges only and are inside no path."""
     kind = pairs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ def _open_windows(pairs: DataFrame) -> DataFrame:
             second = B.WORDS2.prefix(words.hashes)
             text, begin, end, choice = words.edges()
             edge_first = np.searchsorted(text, np.arange(piece.num_rows + 1))
-            owners, places = [], []
+            owners, places, stops = [], [], []
             for i, spans in enumerate(piece.column("paths")):
                 if not spans.is_valid:
                     continue
@@ -136,20 +143,21 @@ def _open_windows(pairs: DataFrame) -> DataFrame:
                 path = np.searchsorted(start, at, side="right") - 1
                 closed = (path >= 0) & (at + WINDOW <= stop[path])
                 at = at[(unknown[high] == unknown[low]) & (high > low) & ~closed]
-                owners.append(np.full(len(at), i))
-                places.append(at)
-            owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            at = np.concatenate(places) if places else np.zeros(0, np.int64)
-            here = words.first[owner] + at
+                whole = stop - start >= WINDOW
+                owners.append(np.full(len(at) + whole.sum(), i))
+                places += [at, start[whole]]
+                stops += [at + WINDOW, stop[whole]]
+            owner, at, end_at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, places, stops))
+            base = words.first[owner]
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("id").take(pa.array(owner)), pa.array(at.astype(np.int32)),
-                    _long(B.WORDS.ranges(words.prefix, here, here + WINDOW)), _long(B.WORDS2.ranges(second, here, here + WINDOW)),
+                    piece.column("id").take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(end_at.astype(np.int32)),
+                    _long(B.WORDS.ranges(words.prefix, base + at, base + end_at)), _long(B.WORDS2.ranges(second, base + at, base + end_at)),
                 ],
-                names=["id", "pos", "h1", "h2"],
+                names=["id", "start", "stop", "h1", "h2"],
             )
 
-    return pairs.mapInArrow(run, f"id {kind}, pos int, h1 bigint, h2 bigint")
+    return pairs.mapInArrow(run, f"id {kind}, start int, stop int, h1 bigint, h2 bigint")
 
 
 def _ends(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +175,11 @@ def removals(rows: DataFrame) -> DataFrame:
     runs = paths(rows.select("id", "text").where("id IS NOT NULL"))
     lists = runs.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("paths"))
     # A left join, so that the texts are shuffled once for this join and the caller's.
-    windows = _open_windows(rows.join(lists, "id", "left"))
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    verified = windows.join(least, ["h1", "h2"]).where("least < id").select("id", F.col("pos").alias("start"), (F.col("pos") + WINDOW).alias("stop"))
-    inside = runs.where((F.col("least") < F.col("id")) & (F.col("stop") - F.col("start") >= WINDOW)).select("id", "start", "stop")
-    return inside.unionAll(verified).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = _spans(rows.join(lists, "id", "left"))
+    least = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    key = F.bitwise_not("h1").alias("key")  # as in ``paths``
+    verified = spans.select("id", "start", "stop", key, "h2").join(least.select(key, "h2", "least"), ["key", "h2"]).where("least < id")
+    return verified.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _kept_words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -235,3 +235,23 @@ def test_piece_boundaries():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     assert [t for p in B.pieces([batch], "text", 3) for t in p.column("text").to_pylist()] == texts
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_paths_are_verified_at_their_source(spark, monkeypatch):
+    words = [f"w{i}" for i in range(180)]
+    rows = [(1, " ".join(words[:90])), (2, " ".join(words[90:])), (3, " ".join(words[:90]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # Whatever the graph says, words go only where the texts are alike.
+    monkeypatch.setattr(substrings, "paths", lambda rows: rows.select("id", F.lit(10).alias("start"), F.lit(80).alias("stop")))
+    lost = {r["doc_id"]: r["n_removed"] for r in substrings.cut_repeats(docs).collect()}
+    # Windows over the ends of the path are alike as well, where their own edges are known.
+    assert lost[1] == lost[2] == 0 and 70 <= lost[3] <= 90
+
+
+def test_edges_meet_their_places_in_a_join_of_two_shuffles(spark):
+    import re
+
+    docs = spark.createDataFrame([(i, "a b c " * 40) for i in range(9)], "id bigint, text string")
+    plan = substrings.paths(docs)._jdf.queryExecution().executedPlan().toString()
+    join = plan[re.search("SortMergeJoin|ShuffledHashJoin", plan).start():]
+    assert join.index("Exchange") < join.index("HashAggregate")
