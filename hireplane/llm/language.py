@@ -4,13 +4,17 @@ Byte n-grams of lower-cased words (2, 3 and 4 bytes, word ends included) are
 hashed to buckets. A text is the mean of its buckets' embeddings, and a linear
 softmax gives the languages. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample (``TRAIN_DOCS`` per
-language, ``MOST_DOCS`` in all; whole texts and short pieces of them). The rejection is calibrated on
+language, ``MOST_DOCS`` in all but at least one per language, so that all
+languages are learned; whole texts and short pieces of them). The rejection is calibrated on
 a part of the sample kept out of the training: a temperature, and the lowest
 score at which nine of ten predictions are right.
 
 Null texts and texts without a letter get ``und`` and score 0, no training
 rows at all give ``und`` everywhere. Texts are scored whole. Ties go to the
-language first in the alphabet. Only id, text and lang are read.
+language first in the alphabet. Only id, text and lang are read. Of rows that
+repeat an id and a language the least text is learned; each row is predicted.
+Texts of any length are counted in runs of ``RUN`` bytes, so memory does not grow
+with the text; no n-gram is lost at a border of runs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hireplane.llm import batches as B
-from hireplane.llm.samples import lowest
+from hireplane.llm.samples import lowest_of_each
 
 TRAIN_DOCS = 500
 MOST_DOCS = 4000
@@ -33,7 +37,8 @@ BUCKETS = 1 << BITS
 DIM = 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
-MOST_LANGUAGES = 400
+RUN = 1 << 19
+TEXTS_PER_RUN = 64
 
 #: ASCII letters in lower case, bytes beyond ASCII, all else a blank.
 FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -50,8 +55,8 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per size: (bucket of each n-gram, number of n-grams that start before each text's end)."""
+def grams(data: np.ndarray, offsets: np.ndarray, stop: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per size: (bucket of each n-gram, number of n-grams that start before each text's end). ``stop``: only those that start before it."""
     text = folded(data).astype(np.uint32)
     for size in SIZES:
         n = max(0, len(text) - size + 1)
@@ -64,19 +69,45 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             inside[at[(at >= 0) & (at < n)]] = False
         # Of blanks, one at either end tells where a word starts or stops; two in a row tell nothing.
         inside &= ~((text[:n] == 0x20) & (text[1 : n + 1] == 0x20))
-        at = np.flatnonzero(inside)
+        at = np.flatnonzero(inside[:stop])
         bucket = ((code[at] + np.uint32(size)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         yield bucket, np.searchsorted(at, offsets)
 
 
+def counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts x buckets: how often each text has the n-grams of a bucket, for some texts after the other."""
+
+    def add(table: np.ndarray, part: np.ndarray, ends: np.ndarray, stop: int | None = None) -> None:
+        for bucket, first in grams(part, ends, stop):
+            owner = np.repeat(np.arange(len(table)), np.diff(first))
+            table += np.bincount(owner * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
+
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        fits = int(np.searchsorted(offsets, offsets[i] + RUN, side="right")) - 1
+        j = min(n, i + TEXTS_PER_RUN, max(i + 1, fits))
+        table = np.zeros((j - i, BUCKETS), np.int64)
+        a, end = int(offsets[i]), int(offsets[j])
+        if end - a <= RUN:
+            add(table, data[a:end], offsets[i : j + 1] - a)
+        while end - a > RUN or fits < j and a < end:  # one long text
+            b = min(a + RUN, end)
+            while b < end and data[b] & 0xC0 == 0x80:  # runs start with a character
+                b += 1
+            part = data[a : min(b + max(SIZES) - 1, end)]
+            add(table, part, np.array([0, len(part)]), b - a)
+            a = b
+        yield table
+        i = j
+
+
 def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its buckets and each one's share of the n-grams."""
-    found = list(grams(data, offsets))
     out = []
-    for i in range(len(offsets) - 1):
-        bucket = np.concatenate([b[f[i] : f[i + 1]] for b, f in found])
-        index, n = np.unique(bucket, return_counts=True)
-        out.append((index, (n / max(1, len(bucket))).astype(np.float32)))
+    for table in counts(data, offsets):
+        for row in table:
+            index = np.flatnonzero(row)
+            out.append((index, (row[index] / max(1, row.sum())).astype(np.float32)))
     return out
 
 
@@ -96,14 +127,9 @@ class Model:
     reject_below: float = 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        sums = np.zeros((len(offsets) - 1, len(self.languages)), np.float64)
-        n = np.zeros(len(offsets) - 1, np.int64)
-        for bucket, first in grams(data, offsets):
-            total = np.zeros((len(bucket) + 1, len(self.languages)), np.float64)
-            np.cumsum(self.table[bucket], axis=0, out=total[1:])
-            sums += total[first[1:]] - total[first[:-1]]
-            n += np.diff(first)
-        return sums / np.maximum(n, 1)[:, None] + self.bias
+        weights = self.table.astype(np.float64)
+        means = [(table / np.maximum(table.sum(1), 1)[:, None]) @ weights for table in counts(data, offsets)]
+        return np.concatenate([np.zeros((0, len(self.languages))), *means]) + self.bias
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = self.logits(data, offsets) / self.temperature
@@ -166,7 +192,9 @@ def _training_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for piece in B.pieces(batches, "text"):
         ids, langs = piece.column("id").to_pylist(), piece.column("lang").to_pylist()
         for i, text in enumerate(piece.column("text").to_pylist()):
-            words = text.split()
+            # Of very long texts three stretches stand for the words at the start, in the middle and at the end.
+            half = len(text) // 2
+            words = (text if len(text) <= RUN else " ".join([text[: RUN // 3], text[half : half + RUN // 3], text[-RUN // 3 :]])).split()
             parts = [text] + [" ".join(words[s : s + k]) for k in (3, 12) for s in (0, len(words) // 2, len(words) - k) if len(words) > 2 * k]
             rows = shares(*B.flat(pa.array(parts, pa.large_string())))
             yield pa.RecordBatch.from_pylist([
@@ -177,16 +205,16 @@ def _training_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model | None:
-    """Train on at most ``most`` rows per language and ``MOST_DOCS`` in all. ``labelled`` holds only rows that may be learned from."""
+    """Train on at most ``most`` rows per language and ``MOST_DOCS`` in all (at least one per language). ``labelled`` holds only rows that may be learned from."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
     )
-    known = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES).collect())
-    if not known:
+    n_languages = rows.select("lang").distinct().count()
+    if not n_languages:
         return None
-    ids = lowest(rows.select("id", "lang"), "id", "lang", known, max(1, min(most, MOST_DOCS // len(known))))
-    # The ids are bounded by MOST_DOCS, what comes back by BUCKETS numbers for each of them.
-    picked = rows.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    ids = lowest_of_each(rows.select("id", "lang"), "id", "lang", max(1, min(most, MOST_DOCS // n_languages)))
+    # The ids are bounded by MOST_DOCS or the languages, what comes back by BUCKETS numbers for each of their few parts.
+    picked = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
     parts = picked.mapInArrow(_training_rows, "id string, part int, lang string, bucket array<int>, share array<float>")
     table = parts.toArrow().sort_by([("id", "ascending"), ("part", "ascending"), ("lang", "ascending")]).combine_chunks()
     shares = [(np.asarray(b.values), np.asarray(s.values)) for b, s in zip(table["bucket"], table["share"])]

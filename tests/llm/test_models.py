@@ -9,7 +9,7 @@ from brute import prose
 from pyspark.sql import functions as F
 
 from hireplane.llm import batches as B
-from hireplane.llm import language, quality_ranking, toxicity
+from hireplane.llm import language, quality_ranking, samples, toxicity
 from hireplane.llm.queries import op7_language, op9_quality_classifier, op10_toxicity
 from hireplane.llm.samples import id_remainder, lowest
 
@@ -134,3 +134,60 @@ def test_overlapping_exceptions_in_long_texts():
     lexicon = toxicity.Lexicon({"bad": 3.0}, ["not bad", "bad not bad", "bad hat"])
     assert lexicon.measures("bad " + "not bad " * 20_000)[0] == 0
     assert lexicon.measures("bad hat not bad so bad " * 5_000)[0] == 15_000.0
+
+
+def plain_counts(text):
+    """N-grams of a text by their buckets, counted one by one."""
+    from collections import Counter
+
+    raw = bytearray(text.encode())
+    for i, b in enumerate(raw):
+        if b < 0x80:
+            raw[i] = ord(chr(b).lower()) if chr(b).isalpha() else 0x20
+    for i in range(1, len(raw)):
+        if raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E and raw[i] != 0x97:
+            raw[i] += 0x20
+    found = Counter()
+    for size in language.SIZES:
+        for i in range(len(raw) - size + 1):
+            if raw[i : i + 2] != b"  ":
+                code = int.from_bytes(raw[i : i + size], "big")
+                found[((code + size) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)] += 1
+    return found
+
+
+def test_language_counts_equal_plain_python(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    texts = ["", "a", " ", "É", "Über  ALL — 7 ñandú"] + ["".join(rng.choices("abÀß× \n9€x😀", k=rng.randrange(90))) for _ in range(200)]
+    want = [plain_counts(t) for t in texts]
+    for run, most in ((1 << 19, 64), (40, 3), (7, 64), (1, 1)):
+        monkeypatch.setattr(language, "RUN", run)
+        monkeypatch.setattr(language, "TEXTS_PER_RUN", most)
+        got = np.concatenate(list(language.counts(*language.B.flat(pa.array(texts, pa.large_string())))))
+        assert [{int(k): int(row[k]) for k in np.flatnonzero(row)} for row in got] == [dict(w) for w in want]
+
+
+def test_language_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    model = language.Model([f"l{i}" for i in range(500)], np.ones((language.BUCKETS, 500), np.float32), np.zeros(500))
+    data = np.tile(np.frombuffer("Das ist ein langer Satz über nichts. ".encode(), np.uint8), 1_400_000)
+    tracemalloc.start()
+    best, score = model.scores(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 50_000_000 and peak < 200_000_000 and len(best) == 1
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, f"wort{i % 500:03d}x " * 9, f"l{i % 500:03d}") for i in range(1500)]
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, "none", "l000")], "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    kept = samples.lowest_of_each(docs, "doc_id", "lang", 2).groupBy("lang").count().collect()
+    assert len(kept) == 500 and {r["count"] for r in kept} == {2}
+    values = sorted({r[2] for r in rows})[:3]
+    want = samples.lowest(spark.createDataFrame(rows, docs.schema), "doc_id", "lang", values, 2).select("doc_id", "lang").collect()
+    assert set(want) == set(samples.lowest_of_each(docs, "doc_id", "lang", 2).where(F.col("lang").isin(values)).collect())
