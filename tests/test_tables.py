@@ -36,6 +36,46 @@ def test_silver_keeps_last_known_values(spark):
     assert whole["j1"] is None
 
 
+def shuffled_bytes(df):
+    """Bytes that the stages of ``df`` wrote for shuffles, from the metrics of the plan that ran."""
+    df.collect()
+
+    def add_up(node):
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return add_up(node.executedPlan())
+        if "QueryStage" in kind:
+            return add_up(node.plan())
+        told = node.metrics().get("shuffleBytesWritten")
+        below = node.children()
+        return (told.get().value() if told.isDefined() else 0) + sum(add_up(below.apply(k)) for k in range(below.size()))
+
+    return add_up(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_winning_texts_are_shuffled(spark):
+    """40 jobs in 30 snapshots, 12 MB of texts that do not compress: only the last snapshot's texts move, once, and none if none is asked for."""
+    rows = [dict(job_id=f"j{k}", scraped_at=datetime(2024, 1, n + 1)) for k in range(40) for n in range(30)]
+    texts = F.concat_ws("", *[F.sha2(F.concat_ws("-", "job_id", "scraped_at", F.lit(k)), 512) for k in range(40)])
+    all_rows = bronze(spark, rows).withColumn("description_text", texts).withColumn("description_html", F.reverse("description_text"))
+    silver = postings.silver_jobs(all_rows, "2024-01-31 00:00:00")
+    whole, short = shuffled_bytes(silver), shuffled_bytes(silver.select("job_id", "title"))
+    assert whole < 1_500_000 and short < 400_000
+    last = {r.job_id: r.description_text for r in all_rows.where("scraped_at = '2024-01-30 00:00:00'").collect()}
+    assert {r.job_id: r.description_text for r in silver.collect()} == last
+
+
+def test_no_winner_is_left_out(spark):
+    """More keys than fit one bitmap; every job is met, jobs without any value too."""
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("j"), F.col("id") % 10_000).alias("job_id"), F.timestamp_seconds(F.col("id") * 7).alias("scraped_at"),
+        F.when(F.col("id") % 10_000 != 5, F.col("id").cast("string")).alias("title"),
+    )
+    got = postings.latest_values(rows, ["title"])
+    assert got.count() == 10_000 and got.where("title IS NULL").count() == 1
+    assert got.where("int(title) != 20000 + int(substring(job_id, 2, 9))").count() == 0
+
+
 def test_bronze_sink_replaces_a_day(spark, tmp_path):
     path = str(tmp_path / "bronze")
     writers.write_bronze(snapshots(spark), path)
