@@ -85,6 +85,18 @@ def test_bronze_sink_replaces_a_day(spark, tmp_path):
     assert got.schema.names == S.JOBS_BRONZE_COLUMNS
 
 
+def test_bronze_sink_is_packed(spark, tmp_path):
+    path, long = tmp_path / "bronze", "<p>A long text of a posting. " * 4000
+    rows = bronze(spark, [dict(job_id=f"j{n}", scraped_at=datetime(2024, 1, n), description_html=long, description_text=long) for n in range(1, 9)])
+    writers.write_bronze(rows, str(path))
+    files = [f for kind in ("json", "csv") for f in (path / kind).rglob("part-*")]
+    assert len(files) >= 16 and sum(f.stat().st_size for f in files) < 8 * len(long) / 10
+    got = readers.read_bronze(spark, str(path / "json"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+    sheet = readers.read_csv_table(spark, str(path / "csv"), T.StructType([f for f in rows.schema if f.name not in ("raw_json", "description_html")]))
+    assert sheet.count() == 8 and {r.description_text.strip() for r in sheet.collect()} == {long.strip()}
+
+
 def test_array_snapshots(spark, tmp_path):
     rows = [dict(job_id=str(i), scraped_at="2024-01-01T00:00:00+00:00", title="T") for i in range(3)]
     (tmp_path / "jobs_2024-01-01.json").write_text(json.dumps(rows, indent=1))
