@@ -141,6 +141,15 @@ def test_providers(spark):
     assert (got["workable"].job_id, got["workable"].location) == ("S1", "Reno, United States")
 
 
+def test_texts_are_made_only_where_they_are_read(spark):
+    raw = spark.createDataFrame([("ashby", "c", '{"id": "1", "locationName": "Remote", "descriptionHtml": "<p>a &amp; b &eacute;</p>"}', datetime(2024, 1, 1))], S.RAW_POSTINGS)
+    rows = postings.parse_postings(raw, us_only=False)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "<(script" not in plan(rows.select("location").distinct())
+    assert plan(rows).count("<(script") == 1
+    assert [r.description_text for r in rows.collect()] == ["a & b é"]
+
+
 def test_resume_rules(spark):
     text_ = ("Jane Doe\r\njane@x.org\nPh.D., computer science, Some University\nML engineer 2015 – present\n"
              "python, C++17, SQL Server, Golang, Go, R&D, bi-weekly BI; apache spark")
