@@ -93,6 +93,27 @@ def test_quality_features_and_awkward(docs, empty, clashing, spark):
     assert quality_ranking.score(empty, model).count() == 0 and quality_ranking.keep(empty, model).count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """No pair is left out: a label that was not among the 3,000 lowest hashes counts, and the weights are those of all pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.normal(i % 2, 2.0, len(quality_ranking.FEATURES)).clip(0).tolist(), i % 2) for i in range(200)]
+    model = quality_ranking.fit_pairs(spark.createDataFrame(rows, "x array<double>, label int").repartition(9))
+    x, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    z = np.clip((quality_ranking.squashed(x) - model.mean) / model.scale, -8, 8)
+    diff = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])
+    slope = diff.T @ (1 / (1 + np.exp(diff @ model.weights))) / len(diff) - quality_ranking.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-4
+    many = spark.range(6500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit(1).alias("quality"))
+    odd = spark.createDataFrame([(-1, "# # # |", 0), (-2, "# # # |", 0)], many.schema)
+    seen = []
+    fit_pairs, quality_ranking.fit_pairs = quality_ranking.fit_pairs, lambda rows: seen.append(rows.groupBy("label").count().collect())
+    try:
+        quality_ranking.fit(many.unionAll(odd), many.unionAll(odd))
+    finally:
+        quality_ranking.fit_pairs = fit_pairs
+    assert sorted(map(tuple, seen[0])) == [(0, 2), (1, 6500)]
+
+
 @pytest.mark.parametrize("text", ["you idiot", "you 1d10t!", "YOU ІDІОT.", "an ｉｄｉｏｔ", "id​iot", "you,idiot,you"])
 def test_folding_finds_disguised_words(text):
     assert toxicity.seeds().measures(text)[0] > 0
