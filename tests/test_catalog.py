@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry
 import check
 from hireplane import catalog
+from hireplane.catalog.bindings import DuckDB, with_inputs
+from hireplane.catalog.registry import DERIVED
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -28,3 +30,15 @@ def test_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert len(got)
     assert check.compare(got, check.duck(SF).execute(entry.oracle_sql()[name]).df()) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+def test_skill_overlap_covers_every_pair(spark):
+    got = entry.queries()["m3_skill_overlap"](spark, SF).toPandas()
+    assert check.compare(got, check.duck(SF).execute(entry.oracle_sql()["m3_skill_overlap"]).df()) is None
+    told, people, jobs = (got[got.kind == kind] for kind in ("overlap", "candidate", "job"))
+    count = "SELECT (SELECT count(*) FROM candidates), (SELECT count(*) FROM index_table)"
+    sizes = check.duck(SF).execute(with_inputs(DuckDB(), ["candidates", "index_table"], count, DERIVED)).fetchone()
+    assert (len(people), len(jobs)) == sizes
+    pairs = {(int(c), j) for c, j in zip(told.candidate_id, told.job_id)}
+    assert pairs == {(int(c), j) for c in people.same_as for j in jobs.same_as} and len(pairs) == len(told)
