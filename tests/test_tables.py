@@ -333,3 +333,34 @@ def test_university_line_ends(spark):
     df = spark.createDataFrame([("Jane Doe\fMIT College\x1cx",), ("a\x0bState University \r\nz",), ("none",)], "b string")
     got = [r[0] for r in df.select(profiles.university(F.col("b"))).collect()]
     assert got == ["MIT College", "State University", None]
+
+
+def test_texts_come_last(spark, tmp_path):
+    """Jobs chosen from short sources get the texts that their bronze rows hold; nulls, repeated ids and far pages included."""
+    from datetime import datetime
+
+    from hireplane.catalog import all_queries
+    from hireplane.catalog.bindings import Inputs
+
+    at = str(tmp_path)
+    ids = [(1, 1), (24, 1), (2, 1), (3, 2), (26, 2), (5, None), (6, 4), (-1, 3)]
+    events = [(e, datetime(2024, 1, 1 + n), u, "click", 1.0, "{}") for n, (e, u) in enumerate(ids)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{at}/events.parquet")
+    docs = [(d, None if d == 8 else f"words {d}") for d in range(0, 24)] + [(7, "words 7"), (13, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    pages = [(1, "<b>one</b>"), (2, None), (3, "<i>three</i>"), (1, "<b>one</b>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{at}/pages.parquet")
+    for table in ("orders", "customer", "nation", "lineitem", "embeddings"):  # named by other inputs
+        spark.range(1).write.parquet(f"{at}/{table}.parquet")
+    i, names = Inputs(spark, at), ["job_id", "description_text", "description_html"]
+    bronze = {tuple(r) for r in i.jobs_bronze.where("job_id IS NOT NULL").select(*names).collect()}
+    assert {tuple(r) for r in i.with_texts(i.jobs_by_source.where("job_id IS NOT NULL")).select(*names).collect()} == bronze
+    assert i.jobs_bronze.count() == i.jobs_by_source.count()
+    for query in ("g2_latest_values", "w1_latest_rows", "t1_silver_jobs"):
+        got = all_queries()[query](spark, at).select(*names).collect()
+        assert len(got) == len({r.job_id for r in got}) == len({b[0] for b in bronze})
+        assert {tuple(r) for r in got} <= bronze
+    # No text is read, let alone moved, where none is asked for.
+    for query in ("f2_target_jobs", "g11_silver_summary"):
+        plan = all_queries()[query](spark, at)._jdf.queryExecution().executedPlan().toString()
+        assert "html:string" not in plan and "text:string" not in plan
