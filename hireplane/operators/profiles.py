@@ -97,8 +97,12 @@ def years_of_experience(body: Column, present_year: int = K.PRESENT_YEAR) -> Col
     return F.coalesce(stated, F.when(earliest.isNotNull(), span).cast("double"))
 
 
-def job_titles(body: Column) -> Column:
-    found = F.array(*[F.regexp_extract(body, "(?iU)" + p, 0) for p in K.JOB_TITLES])
+def job_titles(body: Column, lowered: Column) -> Column:
+    """A pattern only runs on texts that hold the letters of ``K.JOB_TITLE_LETTERS``, which all its matches have."""
+    found = F.array(*[
+        F.when(text.contains_all(lowered, letters), F.regexp_extract(body, "(?iU)" + p, 0)).otherwise("")
+        for p, letters in zip(K.JOB_TITLES, K.JOB_TITLE_LETTERS, strict=True)
+    ])
     return F.array_distinct(
         F.transform(
             F.filter(found, lambda t: t != ""), lambda t: F.initcap(F.lower(text.collapse(t)))
@@ -182,7 +186,7 @@ def extract_profiles(resumes: DataFrame, present_year: int = K.PRESENT_YEAR) ->
         "technical_skills",
         F.array().cast("array<string>").alias("soft_skills"),
         "years_of_experience",
-        job_titles(body).alias("job_titles"),
+        job_titles(body, lowered).alias("job_titles"),
         industries(lowered).alias("industries"),
         degree(body).alias("highest_degree"),
         field_of_study(body).alias("field_of_study"),

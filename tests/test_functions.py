@@ -155,3 +155,19 @@ def test_text_of_odd_markup(spark):
     df = spark.createDataFrame([(h,) for h in cases], "h string")
     got = {r.h: r.t for r in text.add_html_text(df, "h", "t").collect()}
     assert got == cases
+
+
+def test_title_letters_are_in_every_match(spark):
+    """The letters asked for before a title pattern runs leave no match out, whatever characters it is written with."""
+    from hireplane import constants as K
+    from hireplane.operators import profiles
+
+    texts = [
+        "senior  DATA engineering", "Data\u00a0scienti\u017ft", "data analy\u017ft", "ANALYTIC\u017f engineer", "ml eng\u0131neer", "Machine Learning ENG\u0130NEER",
+        "\u017foftware engineer", "Platform engineer", "bac\u212aend engineer", "data arch\u0131tect", "no title", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = F.array_compact(F.array(*[F.nullif(F.regexp_extract("text", "(?iU)" + p, 0), F.lit("")) for p in K.JOB_TITLES]))
+    got = rows.select(F.size(profiles.job_titles(F.col("text"), F.lower("text"))).alias("n"), F.size(plain).alias("m"), "text").collect()
+    assert [(r.text, r.n) for r in got] == [(r.text, r.m) for r in got]
+    assert sum(r.n for r in got) >= 8
