@@ -10,7 +10,7 @@ from hireplane import constants as K
 from hireplane import schemas as S
 from hireplane.catalog import sqltext as q
 from hireplane.catalog.bindings import FILINGS_AS_OF, POSTINGS_AS_OF, Inputs
-from hireplane.catalog.q_candidates import candidate_table, index_table, top20
+from hireplane.catalog.q_candidates import candidate_table, index_table, job_index, top20
 from hireplane.catalog.q_filings import history_table, uscis_raw
 from hireplane.catalog.q_postings import raw_postings, silver
 from hireplane.catalog.registry import DERIVED, register, stored
@@ -47,20 +47,26 @@ DERIVED["signals"] = (["index_table"], f"""
       SELECT *, {q.signal('description_clean')} AS signal FROM index_table)""")
 
 
+def signal_table(i: Inputs) -> DataFrame:
+    """Signals of the jobs of the index; each text is read where the index is made, so neither texts nor vectors are written for it."""
+    told = lambda x: scoring.with_signals(job_index(x), "description_clean")
+    return stored(i, "signals", lambda x: told(x).select("job_id", "company_slug", "signal", "signal_delta"))
+
+
 @register("e1_sponsorship_signal", (["signals"], "SELECT job_id, signal, signal_delta FROM signals"))
 def _(i):
-    return scoring.with_signals(index_table(i), "description_clean").select("job_id", "signal", "signal_delta")
+    return signal_table(i).select("job_id", "signal", "signal_delta")
 
 
 @register("e1_guarded_signal", (["index_table"], f"""
     SELECT job_id, {q.signal('description_clean', True)} AS signal FROM index_table"""))
 def _(i):
-    return scoring.with_signals(index_table(i), "description_clean", True).select("job_id", "signal")
+    return scoring.with_signals(job_index(i), "description_clean", True).select("job_id", "signal")
 
 
 @register("g12_signal_distribution", (["signals"], "SELECT signal, count(*) AS n FROM signals GROUP BY ALL"))
 def _(i):
-    return serving.signal_distribution(scoring.with_signals(index_table(i), "description_clean"))
+    return serving.signal_distribution(signal_table(i))
 
 
 DERIVED["enriched"] = (["signals", "evidence"], """
@@ -68,7 +74,7 @@ DERIVED["enriched"] = (["signals", "evidence"], """
 
 
 def enriched(i: Inputs) -> DataFrame:
-    return ranking.enrich_index(index_table(i), history_table(i))
+    return ranking.with_employers(signal_table(i), history_table(i))
 
 
 @register("j10_attach_signals", (["enriched"], """

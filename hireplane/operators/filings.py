@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hireplane import constants as K
 from hireplane.functions import dates, text
+from hireplane.session import stored
 
 EMPLOYER = "company_name_norm"
 
@@ -67,8 +68,8 @@ def compact_cases(cases: DataFrame) -> DataFrame:
     """Counts per (employer, year, name, state, industry code), then laid out by employer.
 
     The first, finest grouping has no hot key and combines before its shuffle.
-    After it the rows are few, and every later grouping and join by employer
-    reuses the one layout made here.
+    After it the rows are few, and later groupings by employer combine most of
+    them before their shuffle, as they are laid out by it.
     """
     return (
         cases.groupBy(EMPLOYER, "fiscal_year", "company_name_raw", "state", "naics")
@@ -129,7 +130,8 @@ def perm_history(
     """One row per employer from case rows."""
     current_fy = dates.current_fiscal_year(as_of)
     cutoff = current_fy - recent_years
-    compact = compact_cases(cases)
+    # Written, as two aggregations read it: planned twice, each would read and shuffle all cases.
+    compact = stored(compact_cases(cases), "cases")
 
     by_year = compact.groupBy(EMPLOYER, "fiscal_year").agg(
         F.sum("certified").alias("certified"), F.sum("denied").alias("denied"),

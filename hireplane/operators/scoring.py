@@ -263,13 +263,14 @@ def present(rows: DataFrame, audit: bool = True, extra: tuple[str, ...] = ()) ->
 
 
 def score_matches(
-    matches: DataFrame, profiles: DataFrame, as_of: datetime | str, audit: bool = True
+    matches: DataFrame, profiles: DataFrame, as_of: datetime | str, audit: bool = True, texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored and explained rows from matches that carry signal and evidence columns."""
+    """Scored and explained rows from matches that carry signal and evidence columns; ``texts`` (job_id, description_text) come in last."""
     asked = profiles.select(
         "candidate_id", "requires_sponsorship", "technical_skills", "target_roles", "best_fit_roles"
     )
-    return present(add_scores(matches.join(asked, "candidate_id"), as_of, audit), audit)
+    scored = add_scores(matches.join(asked, "candidate_id"), as_of, audit)
+    return present(scored if texts is None else scored.join(texts, "job_id"), audit)
 
 
 def top_ranked(scored: DataFrame, top_n: int = 30) -> DataFrame:

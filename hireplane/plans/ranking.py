@@ -19,9 +19,12 @@ def enrich_index(index: DataFrame, history: DataFrame, negation_guard: bool = Fa
     Both depend on the job alone, so they are computed once per job and once
     per distinct employer, before any candidate is looked at.
     """
-    evidence = resolve.company_evidence(index.select("company_slug"), history)
-    signals = scoring.with_signals(index, "description_clean", negation_guard)
-    return scoring.with_evidence(signals, evidence)
+    return with_employers(scoring.with_signals(index, "description_clean", negation_guard), history)
+
+
+def with_employers(jobs: DataFrame, history: DataFrame) -> DataFrame:
+    """Jobs with the evidence of their employers."""
+    return scoring.with_evidence(jobs, resolve.company_evidence(jobs.select("company_slug"), history))
 
 
 def score_given_matches(
@@ -31,15 +34,18 @@ def score_given_matches(
     """Score matches that carry no signal or evidence yet.
 
     With ``jobs`` (job_id, description_clean) each text is read once per job;
-    without it once per match.
+    without it once per match. Matches without description_text get it from
+    ``jobs``, after all other joins.
     """
-    evidence = resolve.company_evidence(matches.select("company_slug"), history)
+    texts = None
     if jobs is None:
         rows = scoring.with_signals(matches)
     else:
         wanted = jobs.join(matches.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "description_clean")
         rows = matches.join(scoring.with_signals(wanted, "description_clean").drop("description_clean"), "job_id")
-    return scoring.score_matches(scoring.with_evidence(rows, evidence), profiles, as_of, audit)
+        if "description_text" not in matches.columns:
+            texts = jobs.select("job_id", F.col("description_clean").alias("description_text"))
+    return scoring.score_matches(with_employers(rows, history), profiles, as_of, audit, texts)
 
 
 def rank_profiles(
@@ -68,7 +74,8 @@ def rank_profiles(
         F.col("description_clean").alias("description_text"),
     )
     asked = profiles.select("candidate_id", "technical_skills", "target_roles", "best_fit_roles")
-    full = best.join(jobs, "job_id").join(asked, "candidate_id").withColumn(
+    # Whoever asks comes first, so the rows do not move again once they hold a text.
+    full = best.join(asked, "candidate_id").join(jobs, "job_id").withColumn(
         "matched_skills",
         matching.matched_skills(F.col("technical_skills"), F.col("description_text")),
     )

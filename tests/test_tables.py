@@ -364,3 +364,65 @@ def test_texts_come_last(spark, tmp_path):
     for query in ("f2_target_jobs", "g11_silver_summary"):
         plan = all_queries()[query](spark, at)._jdf.queryExecution().executedPlan().toString()
         assert "html:string" not in plan and "text:string" not in plan
+
+
+def test_flags_of_silver_jobs_need_one_pass(spark):
+    """Columns of fixed width come with their keys: the same values, no second pass."""
+    rows = snapshots(spark).unionByName(one_run(spark).select(*snapshots(spark).columns), allowMissingColumns=True)
+    names = ["job_id", "is_target_role", "first_seen", "last_seen", "times_seen", "is_active"]
+    flags = postings.silver_jobs(rows, "2024-01-31 00:00:00", columns=["is_target_role"])
+    whole = postings.silver_jobs(rows, "2024-01-31 00:00:00")
+    assert sorted(map(repr, flags.select(*names).collect())) == sorted(map(repr, whole.select(*names).collect()))
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_keys_of_the_top_row_are_not_written(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(postings, "stored", lambda df, name, real=postings.stored: kept.append((name, real(df, name))) or kept[-1][1])
+    got = {r.job_id: r for r in postings.silver_jobs(snapshots(spark), "2024-01-31 00:00:00").collect()}
+    written = dict(kept)["winners"]
+    keys = [c for c in written.columns if c.startswith("_k_")]
+    assert any(r[c] is None for r in written.collect() for c in keys) and got
+    assert not any(r[c] == r["_top"] for r in written.collect() for c in keys)
+
+
+def test_history_reads_the_cases_once(spark, monkeypatch):
+    from hireplane.operators import filings
+
+    kept = []
+    monkeypatch.setattr(filings, "stored", lambda df, name: kept.append(name) or df)
+    cases = spark.createDataFrame([], f"{filings.EMPLOYER} string, fiscal_year int, company_name_raw string, state string, naics string, is_approved boolean, is_denied boolean, decision_date timestamp")
+    filings.perm_history(cases, "2001-12-31 00:00:00")
+    assert kept == ["cases"]
+
+
+def test_texts_and_vectors_move_once(spark, tmp_path):
+    """Texts are dealt once on their way to the jobs; a job's vectors are those of the plain statement, nulls and repeats included."""
+    from datetime import datetime
+
+    from hireplane.catalog import q_candidates, q_scoring
+    from hireplane.catalog.bindings import Inputs
+
+    at = str(tmp_path)
+    events = [(e, datetime(2024, 1, 1 + n), u, "click", 1.0, "{}") for n, (e, u) in enumerate([(1, 1), (24, 1), (2, 1), (3, 2), (5, None), (None, 2), (6, 9)])]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{at}/events.parquet")
+    spark.createDataFrame([(d, f"words {d}") for d in range(24)], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "<b>one</b>")], "page_id long, html string").write.parquet(f"{at}/pages.parquet")
+    vectors = [(1, [1.0, 2.0, 3.0, 4.0]), (1, [1.0, 2.0, 3.0, 4.0]), (1, [4.0, 2.0, 3.0, 1.0]), (2, None), (2, [5.0, 6.0, 7.0, 8.0]), (3, [0.0] * 4)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    for table in ("orders", "customer", "nation", "lineitem"):  # named by other inputs
+        spark.range(1).write.parquet(f"{at}/{table}.parquet")
+    i = Inputs(spark, at)
+    for name in ("events", "embeddings"):
+        spark.read.parquet(f"{at}/{name}.parquet").createOrReplaceTempView(f"plain_{name}")
+    want = spark.sql(f"""SELECT DISTINCT 'j' || CAST(e.user_id * 100 + e.event_id % 23 AS STRING) AS job_id,
+        {i.dialect.rotate("v.embedding", "(e.event_id % 23)")} AS embedding FROM plain_events e JOIN plain_embeddings v ON v.vec_id = e.user_id""")
+    assert sorted(map(repr, i.job_vectors.collect())) == sorted(map(repr, want.collect())) and i.job_vectors.schema == want.schema
+    plan = i.with_texts(i.jobs_by_source.where("job_id IS NOT NULL"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(_place" in line]
+    assert dealt and not any("_key" in line for line in dealt)
+    told = q_scoring.signal_table(i)
+    assert told.columns == ["job_id", "company_slug", "signal", "signal_delta"]
+    want = q_scoring.scoring.with_signals(q_candidates.index_table(i), "description_clean").select(*told.columns)
+    assert sorted(map(repr, told.collect())) == sorted(map(repr, want.collect()))
