@@ -18,8 +18,11 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +38,62 @@ def byte_order(spark: SparkSession, file: str) -> str:
     return _LITTLE if first_bytes(spark, file, 2) == b"\xff\xfe" else _BIG
 
 
-def _quotes(record: bytes, shift: int, little: bool) -> int:
-    """Quotes among the characters, the first of which starts at ``shift``."""
-    if b'"' not in record:
-        return 0
-    ends = record[shift::2], record[shift + 1 :: 2]
-    low, high = ends if little else ends[::-1]
-    return sum(a == 0x22 and b == 0 for a, b in zip(low, high))
+@dataclass
+class _Records:
+    """Records of one range that follow each other: their bytes, and where each begins and the last one ends."""
+
+    file: str
+    start: int
+    data: np.ndarray
+    bounds: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, n: int) -> bytes:
+        return self.data[self.bounds[n] : self.bounds[n + 1]].tobytes()
+
+    def part(self, first: int, end: int) -> _Records:
+        return _Records(self.file, self.start, self.data, self.bounds[first : end + 1])
+
+    def after(self, shift: int, quoted: int, little: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What is said of the first byte, and whether it stands inside quotes, after each record, if before the first it is ``shift`` and ``quoted``."""
+        shifts = (shift + self.bounds - self.bounds[0]) & 1
+        low, end = self.bounds[0], self.bounds[-1]
+        at = low + np.flatnonzero(self.data[low:end] == 0x22)
+        if not len(at):
+            return shifts[1:], np.full(len(self), quoted)
+        record = np.searchsorted(self.bounds, at, "right") - 1
+        other = at + 1 if little else at - 1
+        first = np.minimum(at, other) - self.bounds[record] - shifts[record]
+        whole = (first >= 0) & (first & 1 == 0) & (np.maximum(at, other) < self.bounds[record + 1])
+        whole[whole] = self.data[other[whole]] == 0
+        quotes = np.bincount(record[whole], minlength=len(self))
+        return shifts[1:], (quoted + np.cumsum(quotes)) & 1
+
+    def lines(self, little: bool) -> pa.Array:
+        """The records as text, each of whole characters."""
+        low, end = self.bounds[0], self.bounds[-1]
+        pairs = self.data[low:end].reshape(-1, 2)
+        letters, over = (pairs[:, 0], pairs[:, 1]) if little else (pairs[:, 1], pairs[:, 0])
+        if not over.any() and not (letters & 0x80).any():
+            bounds = ((self.bounds - low) // 2).astype(np.int32)
+            return pa.StringArray.from_buffers(len(self), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
+        return pa.array([self[n].decode(_LITTLE if little else _BIG, "replace") for n in range(len(self))], pa.string())
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Records]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, starts, values = batch.column("file"), batch.column("start").to_numpy(), batch.column("value").cast(pa.binary())
+        _, bounds, data = values.buffers()
+        bounds = np.frombuffer(bounds, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        other = (starts[1:] != starts[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(values)]
+        for first, end in zip(cuts, cuts[1:]):
+            yield _Records(files[first].as_py(), int(starts[first]), data, bounds[first : end + 1])
 
 
 @dataclass
@@ -53,24 +105,19 @@ class _Case:
     #: A row ended in the range, if it began outside (0) or inside (1) a quoted cell.
     done: list[bool] = field(default_factory=lambda: [False, False])
 
-    def read(self, record: bytes, little: bool) -> None:
-        self.quotes ^= _quotes(record, self.shift, little) & 1
-        self.shift = (len(record) + self.shift) & 1
-        if self.shift == 0:
-            self.done[self.quotes] = True
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
-    for batch in batches:
-        yield from zip(*[batch.column(c).to_pylist() for c in ("file", "start", "value")])
+    def read(self, records: _Records, little: bool) -> None:
+        shifts, quotes = records.after(self.shift, self.quotes, little)
+        for q in (0, 1):
+            self.done[q] |= bool(((shifts == 0) & (quotes == q)).any())
+        self.shift, self.quotes = int(shifts[-1]), int(quotes[-1])
 
 
 def _tell_ranges(little: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cases: dict[tuple[str, int], list[_Case]] = {}
-        for file, start, record in _records(batches):
-            for case in cases.setdefault((file, start), [_Case(0), _Case(1)]):
-                case.read(record, little)
+        for records in _runs(batches):
+            for case in cases.setdefault((records.file, records.start), [_Case(0), _Case(1)]):
+                case.read(records, little)
         rows = [
             (file, start, shift, c.shift, c.quotes, *c.done)
             for (file, start), both in cases.items() for shift, c in enumerate(both)
@@ -105,7 +152,8 @@ def _read_ranges(little: bool, states):
     mark = b"\xff\xfe" if little else b"\xfe\xff"
     name = _LITTLE if little else _BIG
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | pa.Array]:
+        """Single rows, and runs of whole lines, none of them the first of a file, as one array each."""
         at, opener, parts, first, shift, quoted = None, None, [], False, 0, 0
 
         def row(whole: bool) -> tuple:
@@ -114,25 +162,37 @@ def _read_ranges(little: bool, states):
                 return at[0], None, at[1], first, data.decode(name, "replace"), None
             return at[0], at[1] if opener is None else opener, at[1], first, None, data
 
-        for file, start, record in _records(batches):
-            if at != (file, start):
+        for records in _runs(batches):
+            fresh = at != (records.file, records.start)
+            if fresh:
                 if parts:
                     yield row(False)
-                at, parts = (file, start), []
+                at, parts = (records.file, records.start), []
                 shift, quoted, began = states.value[at]
-                opener, first = (began if shift or quoted else None), start == 0
-                if start == 0 and record.startswith(mark):
-                    record = record[2:]
+                opener, first = (began if shift or quoted else None), records.start == 0
                 if opener is not None:
                     parts = [feed]
-            elif parts:
-                parts.append(feed)
-            parts.append(record)
-            quoted ^= _quotes(record, shift, little) & 1
-            shift = (len(record) + shift) & 1
-            if not shift and not quoted:
-                yield row(True)
-                parts, opener, first = [], None, False
+            shifts, quotes = records.after(shift, quoted, little)
+            ends = (shifts == 0) & (quotes == 0)
+            # A record is a whole line if it begins and ends between rows.
+            whole = ends & np.concatenate([[not parts and not first and opener is None], ends[:-1]])
+            cuts = [0, *(np.flatnonzero(whole[1:] != whole[:-1]) + 1).tolist(), len(records)]
+            for low, end in zip(cuts, cuts[1:]):
+                if whole[low]:
+                    yield records.part(low, end).lines(little)
+                    continue
+                for n in range(low, end):
+                    record = records[n]
+                    if fresh and n == 0:
+                        if records.start == 0 and record.startswith(mark):
+                            record = record[2:]
+                    elif parts:
+                        parts.append(feed)
+                    parts.append(record)
+                    if ends[n]:
+                        yield row(True)
+                        parts, opener, first = [], None, False
+            shift, quoted = int(shifts[-1]), int(quotes[-1])
         if parts:
             yield row(False)
 
@@ -145,6 +205,11 @@ def _read_ranges(little: bool, states):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*waiting), types)], names=names)
 
         for line in lines(batches):
+            if isinstance(line, pa.Array):
+                columns = [pa.nulls(len(line), t) for t in types]
+                columns[3], columns[4] = pa.array(np.zeros(len(line), bool)), line
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
             waiting.append(line)
             if len(waiting) == 4096:
                 yield batch()
@@ -155,8 +220,11 @@ def _read_ranges(little: bool, states):
     return run
 
 
-def utf16_lines(spark: SparkSession, files: list[str], order: str) -> DataFrame:
-    """``line`` and ``first`` (of its file) for every row of the files, which have one byte order; blank rows are left out."""
+def utf16_lines(spark: SparkSession, files: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """``line`` and ``first`` (of its file) for every row of the files, which have one byte order; blank rows are left out.
+
+    Rows within one range and rows that cross a border between ranges.
+    """
     little = order == _LITTLE
     raw = spark.read.option("encoding", order).option("lineSep", "\n").text(files).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -170,9 +238,9 @@ def utf16_lines(spark: SparkSession, files: list[str], order: str) -> DataFrame:
         F.max("first").alias("first"), F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts"),
     )
     joined = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["part"]))
-    rows = whole.unionAll(crossing.select("first", F.decode(joined, order).alias("line")))
-    line = F.regexp_replace("line", r"\r$", "")
-    return rows.select("first", line.alias("line")).where(F.col("line") != "")
+    line = F.regexp_replace("line", r"\r$", "").alias("line")
+    rows = whole, crossing.select("first", F.decode(joined, order).alias("line"))
+    return tuple(r.select("first", line).where(F.col("line") != "") for r in rows)
 
 
 def read_utf16_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -185,11 +253,10 @@ def read_utf16_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFra
     by_order: dict[str, list[str]] = {}
     for file in files:
         by_order.setdefault(byte_order(spark, file), []).append(file)
-    lines = None
-    for order, some in by_order.items():
-        part = utf16_lines(spark, some, order)
-        lines = part if lines is None else lines.unionAll(part)
-    head = lines.where("first").first()
+    parts = [part for order, some in by_order.items() for part in utf16_lines(spark, some, order)]
+    # A header mostly stands in one range: the rows that cross borders, for which all is read, are not put together for it then.
+    head = next((row for part in parts if (row := part.where("first").first()) is not None), None)
+    lines = reduce(DataFrame.unionAll, parts) if parts else None
     if head is None:
         raise ValueError(f"no header in {path}")
     names = next(csv.reader([head.line], delimiter=sep))

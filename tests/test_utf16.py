@@ -88,3 +88,51 @@ def test_petitions_by_ranges(spark, tmp_path, small_ranges):
     got = readers.read_uscis(spark, str(tmp_path / "u.csv"))
     assert got.columns[0] == "Employer (Petitioner) Name" and got.rdd.getNumPartitions() > 3
     assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("little", [True, False])
+def test_states_of_many_records_at_once(little):
+    """What is said after each record equals reading them character by character, cut anywhere."""
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        records = [bytes(rng.choice([0, 0x22, 0x41]) for _ in range(rng.randint(0, 7))) for _ in range(6)]
+        bounds = np.cumsum([0] + [len(r) for r in records])
+        for shift, quoted in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            got = utf16._Records("f", 0, np.frombuffer(b"".join(records), np.uint8), bounds).after(shift, quoted, little)
+            want, s, q = [], shift, quoted
+            for r in records:
+                pairs = [r[n : n + 2] for n in range(s, len(r) - 1, 2)]
+                q ^= pairs.count(b'"\0' if little else b'\0"') & 1
+                s = (s + len(r)) & 1
+                want.append((s, q))
+            assert list(zip(*[g.tolist() for g in got])) == want
+
+
+def test_whole_lines_are_read_as_arrays(spark, tmp_path, monkeypatch):
+    """Plain lines are not handled one by one."""
+    import pyarrow as pa
+
+    text = "".join(f"row {i}\n" for i in range(50)).encode("utf-16-le")
+    lines = text.split(b"\n\0")[:-1]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["f"] * 50), pa.array([128] * 50), pa.array(lines, pa.binary())], names=["file", "start", "value"]
+    )
+    states = type("B", (), {"value": {("f", 128): (0, 0, 0)}})
+    got = list(utf16._read_ranges(True, states)(iter([batch])))
+    assert len(got) == 1 and got[0].column("line").to_pylist() == [f"row {i}" for i in range(50)]
+    assert got[0].column("file").null_count == 50
+
+
+def test_a_header_within_one_range_is_read_from_it(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.csv").write_bytes(b"\xff\xfe" + "a\tb\n1\t2\n".encode("utf-16-le"))
+    real, asked = utf16.utf16_lines, []
+
+    def lines(*args):
+        whole, crossing = real(*args)
+        monkeypatch.setattr(crossing, "where", lambda c: asked.append(c), raising=False)
+        return whole, crossing
+
+    monkeypatch.setattr(utf16, "utf16_lines", lines)
+    assert utf16.read_utf16_table(spark, str(tmp_path)).columns == ["a", "b"] and not asked
