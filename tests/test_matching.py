@@ -138,3 +138,11 @@ def test_documented_score_terms(spark):
         less = 0.08 * (r["gap"] == 1) + 0.15 * r["off"]
         want = (None, None) if r["gap"] >= 2 else (round(max(0.0, 0.05 - less), 4), round(1 - less, 4))
         assert (r["low"], r["high"]) == want
+
+
+def test_job_texts_come_in_last(tables, spark):
+    """The rows that hold a text are not dealt again: the job is the last to be joined."""
+    _, _, profiles, index = tables
+    plan = matching.match_candidates(profiles, index, 3)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "job_id" in joins[0] and "candidate_id" in joins[1]
