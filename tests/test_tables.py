@@ -426,3 +426,10 @@ def test_texts_and_vectors_move_once(spark, tmp_path):
     assert told.columns == ["job_id", "company_slug", "signal", "signal_delta"]
     want = q_scoring.scoring.with_signals(q_candidates.index_table(i), "description_clean").select(*told.columns)
     assert sorted(map(repr, told.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_order_keys_are_worked_out_once(spark):
+    """No filter asks whether an order key is null, which would work out all its digests again."""
+    rows = one_run(spark)
+    plan = postings.silver_jobs(rows, "2024-01-31 00:00:00")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
