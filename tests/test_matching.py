@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hireplane.functions.numbers import scaled4
 from hireplane.operators import matching
 
 PROFILES = (
@@ -146,3 +149,59 @@ def test_job_texts_come_in_last(tables, spark):
     plan = matching.match_candidates(profiles, index, 3)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "job_id" in joins[0] and "candidate_id" in joins[1]
+
+
+@pytest.mark.parametrize(("candidates", "jobs", "top_n"), [(10_000, 1_000_000, 150), (250_000, 1_000_000, 20), (250_000, 1_000_000, 150), (15_000_000, 58_000_000, 20)])
+def test_blocks_copy_few_bytes_and_stay_within_bounds(candidates, jobs, top_n):
+    cb, jb = matching.block_counts(candidates, jobs, 64, top_n, 6, 100)
+    # A job is copied to every candidate block, a candidate and its results to every job block.
+    copied = lambda cb, jb: cb * jobs * 316 + jb * candidates * (406 + 12 * top_n)
+    before = max(1, -(-candidates // 4096))
+    assert copied(cb, jb) < 0.6 * copied(before, max(-(-100 // before), -(-jobs // 200_000)))
+    assert candidates / cb <= matching.MOST_PER_BLOCK and candidates / cb * top_n * 102 <= matching.BLOCK_BYTES
+    assert jobs / jb <= matching.JOBS_PER_BLOCK and candidates * jobs / (cb * jb) <= matching.PAIRS_PER_TASK
+
+
+def test_blocks_of_small_tables():
+    for candidates, jobs in ((0, 0), (1, 0), (0, 5), (1, 1), (3, 10**6)):
+        cb, jb = matching.block_counts(candidates, jobs, 0, 20, 4, 4)
+        assert 1 <= cb <= max(1, candidates) and jb >= 1
+
+
+def test_pairs_that_cannot_count_are_not_scored_exactly(monkeypatch):
+    """Similar scores, ties and long vectors: the best are those of scoring every pair exactly, of which few are."""
+    rng = np.random.default_rng(5)
+    n, m, width, top_n = 40, 3000, 16, 5
+    people, jobs = rng.standard_normal((n, width)), np.round(rng.standard_normal((m, width)) * 4) * 2
+    jobs[500:900] = jobs[100]
+    lists = lambda count, most: [[int(x) for x in rng.choice(8, rng.integers(0, most), replace=False)] for _ in range(count)]
+    c = {k: lists(n, 5) for k in ("skills", "roles", "places")}
+    x = {k: lists(m, 5) for k in ("skills", "roles", "places")}
+    remote, has_place = rng.random(m) < 0.1, [bool(v) for v in c["places"]]
+    hits = lambda kind: np.array([[len(set(a) & set(b)) for a in c[kind]] for b in x[kind]])
+    skill = hits("skills") / np.maximum([len(v) for v in c["skills"]], 1)
+    place = (hits("places") > 0) | (remote[:, None] & np.array(has_place)[None, :])
+    total = 0.5 * (jobs @ people.T) + 0.3 * skill + 0.1 * (hits("roles") > 0) + 0.1 * place
+    table = pa.table({
+        "candidate_id": pa.array(range(n)), "embedding": pa.array(people.tolist(), pa.list_(pa.float64())),
+        **{k: pa.array(v, pa.list_(pa.int64())) for k, v in c.items()}, "has_place": pa.array(has_place),
+    })
+    batch = pa.RecordBatch.from_pydict({
+        "job_id": pa.array([f"j{i:05}" for i in range(m)]), "embedding": pa.array(jobs.tolist(), pa.list_(pa.float64())),
+        **{k: pa.array(v, pa.list_(pa.int64())) for k, v in x.items()}, "remote": pa.array(remote),
+    })
+    monkeypatch.setattr(matching._Block, "BATCH_CELLS", 2000)
+    exact = []
+    semantic = matching._Block._semantic
+    monkeypatch.setattr(matching._Block, "_semantic", lambda self, v, j, k: exact.append(len(j)) or semantic(self, v, j, k))
+    block = matching._Block(table, top_n)
+    block.add(batch)
+    got = {}
+    for out in block.result():
+        for r in out.to_pylist():
+            got.setdefault(r["candidate_id"], []).append((r["match_score"], r["job_id"]))
+    scores = scaled4(total) / 10_000
+    for i in range(n):
+        want = sorted(((scores[k, i], f"j{k:05}") for k in range(m)), key=lambda r: (-r[0], r[1]))[:top_n]
+        assert sorted(got[i], key=lambda r: (-r[0], r[1])) == want
+    assert sum(exact) < n * m / 4
