@@ -42,3 +42,14 @@ def test_skill_overlap_covers_every_pair(spark):
     assert (len(people), len(jobs)) == sizes
     pairs = {(int(c), j) for c, j in zip(told.candidate_id, told.job_id)}
     assert pairs == {(int(c), j) for c in people.same_as for j in jobs.same_as} and len(pairs) == len(told)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+def test_stored_ranks_hold_no_texts(spark):
+    """Serving queries read ranks from a file; the text of a job is in the index, once."""
+    from hireplane.catalog import q_scoring, registry
+    from hireplane.catalog.bindings import Inputs
+
+    q_scoring.results(Inputs(spark, SF))
+    _, schema = registry._STORED[(spark.sparkContext.applicationId, SF, "ranked")]
+    assert "description_text" not in schema.names and {"reasoning", "matched_skills", "rank"} <= set(schema.names)
