@@ -292,7 +292,9 @@ def leading(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     a = matrix / size
     diagonal, beside, reflections = tridiagonal(a)
     values = bisected(diagonal, beside, k)
-    values = values[values > FLAT * max(values[0], 0.0)]
+    # Values are known up to rounding; what may be above the limit counts.
+    rounding = len(a) * np.finfo(float).eps
+    values = values[values > (FLAT - rounding) * max(values[0], 0.0)]
     vectors = inverse_iteration(diagonal, beside, values)
     for i in range(len(reflections) - 1, -1, -1):
         v = reflections[i]
